@@ -20,3 +20,24 @@ def session(master: str | None = None, **conf) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark context, so that their Python workers can import it."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quillgraph_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "quillgraph_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._quillgraph_shipped = True
