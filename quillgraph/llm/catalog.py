@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, simhash
+from quillgraph.llm import mixing, packing, quality, simhash
 
-MODULES = (mixing, simhash)
+MODULES = (mixing, packing, quality, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
