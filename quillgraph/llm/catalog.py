@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, packing, quality, simhash
+from quillgraph.llm import chat, embeddings, licenses, media, mixing, packing, quality, simhash, urls, warc
 
-MODULES = (mixing, packing, quality, simhash)
+MODULES = (chat, embeddings, licenses, media, mixing, packing, quality, simhash, urls, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
