@@ -33,7 +33,7 @@ from quillgraph.plans.cut import cut
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of text that are tokenized at once, and words and runs whose ids a worker remembers.
-SLICE_BYTES, WORDS = 8_000_000, 400_000
+SLICE_BYTES, WORDS = 2_000_000, 200_000
 
 
 def vocabulary() -> str:
