@@ -36,3 +36,302 @@ select label, count(*) as vertices from c group by label""")
 def cc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = connected_components(supplier_orders(spark, sf_dir), src="u", dst="v")
     return labels.groupBy("label").agg(F.count("*").alias("vertices"))
+
+
+# --- sequences: line items in order ------------------------------------------------------------------------------
+
+S_SQL = "s as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as idx, cast(l_quantity as bigint) as value, l_linenumber as key from lineitem)"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.seq import with_index
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return with_index(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).select("idx", F.col("l_quantity").cast("long").alias("value"), F.col("l_linenumber").alias("key"))
+
+
+def on_items(name: str, sql: str):
+    """Registers a query on the sequence of quantities; the SQL reads s(idx, value, key)."""
+    def add(f):
+        query(name, f"with {S_SQL} {sql}")(lambda spark, sf_dir: f(items(spark, sf_dir)))
+        return f
+
+    return add
+
+
+def _register_sequences() -> None:
+    from quillgraph.operators import agg, scan, seq, sort
+
+    on_items("seq_scan_exclusive", "select idx, value, coalesce(cast(sum(value) over (order by idx rows between unbounded preceding and 1 preceding) as bigint), 0) as scan from s")(lambda s: scan.scan(s.select("idx", "value")))
+    on_items("seq_scan_inclusive", "select idx, value, cast(sum(value) over (order by idx) as bigint) as scan from s")(lambda s: scan.scan(s.select("idx", "value"), inclusive=True))
+    on_items("seq_scan_max", "select idx, value, max(value) over (order by idx rows between unbounded preceding and 1 preceding) as scan from s")(lambda s: scan.scan(s.select("idx", "value"), "max"))
+    on_items("seq_scan_segmented", "select idx, value, key, coalesce(cast(sum(value) over (partition by key order by idx rows between unbounded preceding and 1 preceding) as bigint), 0) as scan from s")(lambda s: scan.scan(s, by=["key"]))
+    on_items("seq_rank", "select idx, row_number() over (order by value, idx) - 1 as rank from s")(lambda s: scan.rank(s))
+    on_items("seq_mcss", "select max(t - least(l, 0)) as mcss from (select t, coalesce(min(t) over (order by idx rows between unbounded preceding and 1 preceding), 0) as l from (select idx, cast(sum(value - 25) over (order by idx) as bigint) as t from s))")(lambda s: scan.max_contiguous_sum(s.select("idx", (F.col("value") - 25).alias("value"))))
+    on_items("seq_reduce", "select cast(sum(value) as bigint) as value from s")(lambda s: agg.reduce(s))
+    on_items("seq_reduce_xor", "select bit_xor(value) as value from s")(lambda s: agg.reduce(s, "bit_xor"))
+    on_items("seq_minmax_element", "select min(idx) filter (value = lo) as min_pos, min(idx) filter (value = hi) as max_pos from s, (select min(value) as lo, max(value) as hi from s)")(lambda s: agg.minmax_element(s))
+    on_items("seq_map", "select idx, value * value + 1 as value from s")(lambda s: seq.map_values(s, "value * value + 1"))
+    on_items("seq_filter", "select idx, value from s where value % 3 = 0")(lambda s: seq.filter_values(s.select("idx", "value"), "value % 3 = 0"))
+    on_items("seq_remove_if", "select idx, value from s where not value > 10")(lambda s: seq.remove_if(s.select("idx", "value"), "value > 10"))
+    on_items("seq_pack", "select idx, value from s where key = 1")(lambda s: seq.pack(s.select("idx", "value"), s.select("idx", (F.col("key") == 1).alias("value"))))
+    on_items("seq_pack_index", "select idx from s where value = 50")(lambda s: seq.pack_index(seq.map_values(s, "value = 50")))
+    on_items("seq_map_maybe", "select idx, value // 2 as value from s where value % 2 = 0")(lambda s: seq.map_maybe(s, "if(value % 2 = 0, value div 2, null)"))
+    on_items("seq_zip_with", "select idx, value * key as value from s")(lambda s: seq.zip_with(s.select("idx", "value"), s.select("idx", F.col("key").alias("value")), "a * b"))
+    on_items("seq_count_if", "select count(*) as n from s where value > 40")(lambda s: seq.count_if(s, "value > 40"))
+    on_items("seq_quantify", "select bool_and(value > 0) as all_of, bool_or(value > 50) as any_of, not bool_or(value > 50) as none_of from s")(lambda s: s.agg(F.bool_and(F.expr("value > 0")).alias("all_of")).join(seq.quantify(s, "value > 50").drop("all_of")))
+    on_items("seq_find_if", "select coalesce(min(idx) filter (value = 37), count(*)) as pos from s")(lambda s: seq.find_if(s, "value = 37"))
+    on_items("seq_find_first_of", "select coalesce(min(idx) filter (value in (48, 49)), count(*)) as pos from s")(lambda s: seq.find_first_of(s, s.sparkSession.createDataFrame([(48,), (49,)], "value long")))
+    on_items("seq_adjacent_find", "select coalesce(min(idx) filter (value = n), count(*)) as pos from (select idx, value, lead(value) over (order by idx) as n from s)")(lambda s: seq.adjacent_find(s.select("idx", "value")))
+    on_items("seq_mismatch", "select coalesce(min(idx) filter (value <> least(value, 49)), count(*)) as pos from s")(lambda s: seq.mismatch(s.select("idx", "value"), seq.map_values(s, "least(value, 49L)")))
+    on_items("seq_equal", "select bool_and(value = least(value, 49)) as equal from s")(lambda s: seq.equal(s.select("idx", "value"), seq.map_values(s, "least(value, 49L)")))
+    on_items("seq_lexicographical", "select coalesce(arg_min(a < b, idx) filter (a <> b), false) as less from (select idx, value as a, least(value, 49) + case when key = 7 then 1 else 0 end as b from s)")(lambda s: seq.lexicographical_compare(s.select("idx", "value"), s.select("idx", F.expr("least(value, 49L) + if(key = 7, 1, 0)").alias("value"))))
+    on_items("seq_search", "select coalesce(min(idx), (select count(*) from s)) as first, coalesce(max(idx), (select count(*) from s)) as last, count(*) as n from (select idx, value, lead(value) over (order by idx) as b from s) where value = 12 and b = 30")(lambda s: seq.search(s.select("idx", "value"), s.sparkSession.createDataFrame([(0, 12), (1, 30)], "idx long, value long")))
+    on_items("seq_is_sorted_until", "select coalesce(min(idx) filter (value < p), count(*)) as until, min(idx) filter (value < p) is null as sorted from (select idx, value, lag(value) over (order by idx) as p from s)")(lambda s: seq.is_sorted_until(s.select("idx", "value")))
+    on_items("seq_is_partitioned", "select coalesce(max(idx) filter (value > 10) < min(idx) filter (not value > 10), true) as partitioned from s")(lambda s: seq.is_partitioned(s, "value > 10"))
+    on_items("seq_reverse", "select (select count(*) from s) - 1 - idx as idx, value from s")(lambda s: seq.reverse(s.select("idx", "value")))
+    on_items("seq_rotate", "select (idx - 1000 + (select count(*) from s)) % (select count(*) from s) as idx, value from s")(lambda s: seq.rotate(s.select("idx", "value"), 1000))
+    on_items("seq_append", "select idx, value from s union all select idx + (select count(*) from s), key from s")(lambda s: seq.append(s.select("idx", "value"), s.select("idx", F.col("key").cast("long").alias("value"))))
+    on_items("seq_erase", "select case when idx < 100 then idx else idx - 400 end as idx, value from s where idx < 100 or idx >= 500")(lambda s: seq.erase(s.select("idx", "value"), 100, 500))
+    on_items("seq_cut", "select idx - 100 as idx, value from s where idx >= 100 and idx < 500")(lambda s: seq.cut_between(s, 100, 500))
+    on_items("seq_unique", "select idx, value from (select idx, value, lag(value) over (order by idx) as p from s) where p is null or p <> value")(lambda s: agg.unique(s.select("idx", "value")))
+    on_items("seq_split_at", "select piece, array_to_string(list(value order by idx), ',') as items from (select idx, value, coalesce(sum(case when value = 50 then 1 else 0 end) over (order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as piece from s) group by piece union all select count(*) filter (value = 50), '' from s having arg_max(value, idx) = 50")(lambda s: seq.split_at(s.select("idx", "value"), "value = 50").select("piece", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items")))
+    on_items("seq_gather", "select s.idx, t.value from s join s t on t.idx = s.value * 7")(lambda s: seq.gather(s.select("idx", "value"), seq.map_values(s, "value * 7")))
+    on_items("seq_scatter", "select value as idx, arg_max(key, s.idx)::bigint as value from s group by s.value")(lambda s: seq.scatter(s.select("idx", F.col("key").cast("long").alias("value")), s.select("idx", "value")))
+    on_items("seq_flatten", "select row_number() over (order by idx, k) - 1 as idx, idx * 10 + k as value from (select idx, unnest(range(value % 3)) as k from s)")(lambda s: seq.flatten(s.select("idx", F.expr("if(value % 3 = 0, cast(array() as array<long>), transform(sequence(0L, value % 3 - 1), k -> idx * 10 + k))").alias("value"))))
+    on_items("seq_sort", "select row_number() over (order by value, idx) - 1 as idx, value, idx as source from s")(lambda s: sort.stable_sort(s.select("idx", "value")))
+    on_items("seq_counting_sort_offsets", "select k as key, coalesce(cast(sum(n) over (order by k rows between unbounded preceding and 1 preceding) as bigint), 0) as offset, n as value from (select k, count(s.idx) as n from range(8) r(k) left join s on s.key = k group by k)")(lambda s: sort.counting_sort(s, 8)[1].join(agg.histogram_by_index(s, 8), "key"))
+    on_items("seq_kth_smallest", "select value from s order by value limit 1 offset 12345")(lambda s: sort.kth_smallest(s, 12345))
+    on_items("seq_merge", "select row_number() over (order by value, h, idx) - 1 as idx, value from (select idx, value, case when key <= 3 then 0 else 1 end as h from s)")(lambda s: sort.merge(s.where("key <= 3").select("idx", "value"), s.where("key > 3").select("idx", "value")))
+    on_items("seq_reduce_by_key", "select key, cast(sum(value) as bigint) as value from s group by key")(lambda s: agg.reduce_by_key(s))
+    on_items("seq_group_by_key", "select key, md5(array_to_string(list(value order by idx), ',')) as items from s group by key")(lambda s: agg.group_by_key(s).select("key", F.md5(F.concat_ws(",", F.col("items").cast("array<string>")).cast("binary")).alias("items")))
+    on_items("seq_histogram_by_key", "select value as key, count(*) as n from s group by value")(lambda s: agg.histogram_by_key(s.select(F.col("value").alias("key"))))
+    on_items("seq_histogram_by_index", "select k as key, count(s.idx) as value from range(64) r(k) left join s on s.value = k group by k")(lambda s: agg.histogram_by_index(s.select(F.col("value").alias("key")), 64))
+    on_items("seq_reduce_by_index", "select k as key, coalesce(cast(sum(s.key) as bigint), 0) as value from range(64) r(k) left join s on s.value = k group by k")(lambda s: agg.reduce_by_index(s.select(F.col("value").alias("key"), F.col("key").alias("value")), 64))
+    on_items("seq_group_by_index", "select k as key, coalesce(md5(array_to_string(list(s.key order by s.idx) filter (s.idx is not null), ',')), md5('')) as value from range(64) r(k) left join s on s.value = k group by k")(lambda s: agg.group_by_index(s.select("idx", F.col("value").alias("key"), F.col("key").alias("value")), 64).select("key", F.md5(F.concat_ws(",", F.col("value").cast("array<string>")).cast("binary")).alias("value")))
+    on_items("seq_remove_duplicates", "select distinct value from s")(lambda s: agg.remove_duplicates(s))
+    query("text_counts", "select cast(sum(length(text) - length(replace(text, chr(10), ''))) as bigint) as lines, cast(sum(len(regexp_extract_all(text, '[^ \\f\\n\\r\\t\\x0B]+'))) as bigint) as words, cast(sum(strlen(text)) as bigint) as bytes from documents")(lambda spark, d: agg.text_counts(spark.read.parquet(f"{d}/documents.parquet")))
+
+
+_register_sequences()
+
+
+# --- text and numbers ----------------------------------------------------------------------------------------------
+
+@query("word_counts", "select word, count(*) as n from (select unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), '[a-z]+')) as word from documents) group by word")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.functions.text import word_counts as count
+
+    return count(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("word_counts_top", "select word, count(*) as n from (select unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), '[a-z]+')) as word from documents) group by word order by n desc, word limit 20")
+def word_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_counts(spark, sf_dir).orderBy(F.col("n").desc(), "word").limit(20)
+
+
+@query("match_positions", "select doc_id, p - 1 as pos from (select doc_id, text, unnest(range(1, length(text) - 3)) as p from documents) where substr(text, p, 4) = 'tion'")
+def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.functions.text import match_positions as positions
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(positions(F.col("text"), "tion")).alias("pos")).select("doc_id", F.col("pos").cast("long"))
+
+
+@query("linefit", "select round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept, round(regr_slope(l_extendedprice, l_quantity), 6) as slope from lineitem")
+def linefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.numeric import linefit as fit
+
+    out = fit(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity", "l_extendedprice")
+    return out.select(F.round("intercept", 4).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+@query("primes", "select n as value from range(2, 10001) r(n) where not exists (select 1 from range(2, 101) q(p) where n > p and n % p = 0)")
+def primes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.numeric import primes as upto
+
+    return upto(spark, 10_000)
+
+
+# --- graphs -----------------------------------------------------------------------------------------------------------
+
+NATION_SQL = """
+g as (select least(c.c_nationkey, s.s_nationkey)::bigint as u, greatest(c.c_nationkey, s.s_nationkey)::bigint as v, min(cast(round(o_totalprice * 100) as bigint)) as w
+      from lineitem join orders o on l_orderkey = o_orderkey join customer c on o_custkey = c_custkey join supplier s on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2),
+e as (select row_number() over (order by u, v) - 1 as eid, u, v, w from g)"""
+SO_SQL = "g as (select l_suppkey as u, 1000000 + l_orderkey as v, min(cast(round(l_extendedprice * 100) as bigint)) as w from lineitem where l_quantity = 1 group by 1, 2), e as (select row_number() over (order by u, v) - 1 as eid, u, v, w from g)"
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted edges between nations of customers and suppliers that trade: at most 300 rows."""
+    from quillgraph.operators.seq import with_index
+
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "supplier")}
+    j = t["lineitem"].select("l_orderkey", "l_suppkey").join(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
+    g = j.groupBy(F.least("c_nationkey", "s_nationkey").cast("long").alias("u"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("v")).agg(F.min(F.round(F.col("o_totalprice") * 100).cast("long")).alias("w"))
+    return with_index(g, ["u", "v"], "eid")
+
+
+def indexed_supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.seq import with_index
+
+    return with_index(supplier_orders(spark, sf_dir), ["u", "v"], "eid")
+
+
+MSF_TAIL = """
+, ee as (select eid, u as a, v as b, w from e union all select eid, v, u, w from e),
+r(x, xw, v) as (select eid, w, u from e union select r.x, r.xw, ee.b from r join ee on ee.a = r.v and (ee.w < r.xw or (ee.w = r.xw and ee.eid < r.x))),
+bad as (select distinct e.eid from e join r on r.x = e.eid and r.v = e.v),
+f as (select e.* from e anti join bad using (eid))"""
+
+
+@query("msf_nations", f"with recursive {NATION_SQL}{MSF_TAIL} select eid, u, v, w from f")
+def msf_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.msf import minimum_spanning_forest
+
+    return minimum_spanning_forest(nations(spark, sf_dir)).select("eid", "u", "v", "w")
+
+
+@query("msf_supplier_orders", f"with recursive {SO_SQL}{MSF_TAIL} select eid, u, v, w from f")
+def msf_supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.msf import minimum_spanning_forest
+
+    return minimum_spanning_forest(indexed_supplier_orders(spark, sf_dir)).select("eid", "u", "v", "w")
+
+
+@query("msf_weight", f"with recursive {SO_SQL}{MSF_TAIL} select cast(sum(w) as bigint) as total_weight, count(*) as edges from f")
+def msf_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.msf import forest_weight
+
+    return forest_weight(msf_supplier_orders(spark, sf_dir))
+
+
+@query("msf_chunked", f"with recursive {NATION_SQL}{MSF_TAIL} select eid, u, v, w from f")
+def msf_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.msf import chunked_msf
+
+    return chunked_msf(nations(spark, sf_dir), 4).select("eid", "u", "v", "w")
+
+
+@query("msf_maximum", f"with recursive {NATION_SQL.replace('min(cast', '-min(cast')}{MSF_TAIL} select eid, u, v, -w as w from f")
+def msf_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.msf import minimum_spanning_forest
+
+    return minimum_spanning_forest(nations(spark, sf_dir), maximum=True).select("eid", "u", "v", "w")
+
+
+CC_TAIL = ", ee as (select u as a, v as b from e union all select v, u from e), r(v, l) as (select a, a from ee union select ee.b, r.l from r join ee on ee.a = r.v where r.l < ee.b)"
+
+
+@query("cc_labels", f"with recursive {SO_SQL}{CC_TAIL} select v as vid, min(l) as label from r group by v")
+def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(supplier_orders(spark, sf_dir), src="u", dst="v")
+
+
+@query("cc_count", f"with recursive {SO_SQL}{CC_TAIL} select count(*) as components from (select v, min(l) as label from r group by v) where v = label")
+def cc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.components import component_count
+
+    return component_count(cc_labels(spark, sf_dir))
+
+
+@query("spanning_forest_size", f"with recursive {SO_SQL}{CC_TAIL} select count(*) - count(*) filter (v = label) as edges from (select v, min(l) as label from r group by v)")
+def spanning_forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.components import spanning_forest
+
+    return spanning_forest(indexed_supplier_orders(spark, sf_dir), src="u", dst="v").agg(F.count("*").alias("edges"))
+
+
+BOTH_SQL = ", d as (select u as src, v as dst, w from e union all select v, u, w from e)"
+
+
+def both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = indexed_supplier_orders(spark, sf_dir)
+    return e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").unionAll(e.select("v", "u", "w"))
+
+
+@query("bfs_levels", f"with recursive {SO_SQL}{BOTH_SQL}, r(vid, level) as (select (select min(u) from e), 0::bigint union select dst, level + 1 from r join d on src = vid where level < 60) select vid, min(level) as level from r group by vid")
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import bfs
+
+    e = both(spark, sf_dir)
+    return bfs(e, e.agg(F.min("src")).first()[0])
+
+
+@query("shortest_paths")
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import bellman_ford
+
+    e = both(spark, sf_dir)
+    return bellman_ford(e, e.agg(F.min("src")).first()[0])
+
+
+@query("triangles", f"with {NATION_SQL} select count(*) as triangles, 2 * count(*) as twice from e a join e b on a.v = b.u join e c on c.u = a.u and c.v = b.v")
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import triangles as count
+
+    return count(nations(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+
+
+PR_SQL = f"""with {NATION_SQL}, d as (select u as src, v as dst from e union all select v, u from e), m as (select src, dst, 1.0::double / count(*) over (partition by src) as x from d),
+r0 as (select n as vid, 1.0::double / 25 as rank from range(25) t(n))""" + "".join(f", r{k} as (select a.vid, 0.15::double / 25 + 0.85::double * coalesce(g, 0) as rank from r{k - 1} a left join (select dst, sum(rank * x) as g from r{k - 1} join m on vid = src group by dst) on dst = a.vid)" for k in range(1, 11)) + " select vid, round(rank, 9) as rank from r10"
+
+
+@query("pagerank", PR_SQL)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import pagerank as rank, symmetrise
+
+    return rank(symmetrise(nations(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))), 25).select("vid", F.round("rank", 9).alias("rank"))
+
+
+@query("kcore")
+def kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import kcore as core
+
+    return core(both(spark, sf_dir).select("src", "dst"))
+
+
+@query("maximal_independent_set")
+def maximal_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import maximal_independent_set as mis
+
+    e = both(spark, sf_dir)
+    return mis(e, e.select(F.col("src").alias("vid")))
+
+
+@query("maximal_matching")
+def maximal_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import maximal_matching as match
+
+    return match(indexed_supplier_orders(spark, sf_dir).select("eid", F.col("u").alias("src"), F.col("v").alias("dst")))
+
+
+@query("colouring")
+def colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import colour
+
+    e = both(spark, sf_dir)
+    return colour(e, e.select(F.col("src").alias("vid")))
+
+
+@query("betweenness")
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import betweenness as delta
+
+    e = both(spark, sf_dir)
+    return delta(e, e.agg(F.min("src")).first()[0])
+
+
+@query("cycle_count")
+def cycle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import cycle_count as cycles
+    from quillgraph.operators.scan import rank
+
+    return cycles(rank(items(spark, sf_dir)).select("idx", F.col("rank").alias("value")))
+
+
+@query("edge_degrees", f"with {SO_SQL}{BOTH_SQL} select src as vid, count(*) as degree from d group by src")
+def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import degrees
+
+    return degrees(both(spark, sf_dir))
