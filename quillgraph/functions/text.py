@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: The six ASCII white-space characters.
 SPACE = r"[ \f\n\r\t\x0B]+"
@@ -50,7 +51,7 @@ def match_positions(c: Column, pattern: str) -> Column:
     return F.when(c.startswith(pattern), F.concat(F.array(F.lit(0)), starts)).otherwise(F.coalesce(starts, none))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def insert_delete_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Fewest insertions and deletions that turn a into b: no substitutions."""
 
@@ -110,17 +111,17 @@ def lcp_of(text: str, sa: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def suffix_array(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else suffix_array_of(t))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def lcp_array(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else lcp_of(t, suffix_array_of(t)))
 
 
-@F.pandas_udf("struct<len: long, pos1: long, pos2: long>")
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("len", "pos1", "pos2")]))
 def longest_repeat(c: pd.Series) -> pd.DataFrame:
     """Length and two starts of the longest substring that occurs twice; the first such in suffix order."""
 
@@ -135,7 +136,7 @@ def longest_repeat(c: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in c], columns=["len", "pos1", "pos2"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def burrows_wheeler(c: pd.Series) -> pd.Series:
     """The last column of the sorted rotations of the text with a NUL in front of its end."""
 

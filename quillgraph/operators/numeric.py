@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quillgraph.plans.cut import cut
 
@@ -46,7 +47,7 @@ def _big(op):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else op(x, y) for x, y in zip(a, b)])
 
-    return F.pandas_udf(run, "array<long>")
+    return F.pandas_udf(run, ArrayType(LongType()))
 
 
 def _wide(v: int, n: int) -> list[int]:

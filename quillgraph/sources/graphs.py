@@ -109,14 +109,14 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst[, w]) of an adjacency file: header word, n, m, n offsets, m targets[, m weights]."""
     kind, t = _numbers(spark, path, ("AdjacencyGraph", "WeightedAdjacencyGraph"))
     n, m = (int(r.value) for r in t.where("idx < 2").orderBy("idx").collect())
-    offsets = t.where((F.col("idx") >= 2) & (F.col("idx") < 2 + n)).select((F.col("idx") - 2).alias("src"), F.col("value").cast("long").alias("begin"))
+    offsets = t.where((F.col("idx") >= 2) & (F.col("idx") < 2 + n)).select((F.col("idx") - 2).alias("src"), F.col("value").try_cast("long").alias("begin"))
     from pyspark.sql import Window
 
     spans = offsets.withColumn("end", F.lead("begin", 1, m).over(Window.orderBy("src"))).where("begin < end")
     at = spans.select("src", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
-    out = at.join(t.select((F.col("idx") - 2 - n).alias("at"), F.col("value").cast("long").alias("dst")), "at")
+    out = at.join(t.select((F.col("idx") - 2 - n).alias("at"), F.col("value").try_cast("long").alias("dst")), "at")
     if kind[0] == "W":
-        out = out.join(t.select((F.col("idx") - 2 - n - m).alias("at"), F.col("value").cast("double").alias("w")), "at")
+        out = out.join(t.select((F.col("idx") - 2 - n - m).alias("at"), F.col("value").try_cast("double").alias("w")), "at")
     return out.drop("at")
 
 
