@@ -259,3 +259,34 @@ def grid(spark: SparkSession, side: int) -> DataFrame:
     steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
     at = v.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))).select("src", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
     return at.where(f"r >= 0 and c >= 0 and r < {side} and c < {side}").select("src", (F.col("r") * side + F.col("c")).alias("dst"))
+
+
+def le_lists(e: DataFrame, order: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(vid, root, dist): for each vertex those roots that are nearer to it, along the edges, than all roots before them in the order (vid, ord).
+
+    `ord` is 0, 1, ...; prefixes of the order double. In a prefix all roots step together, and a vertex hands on the first root it was reached from.
+    """
+    e, order = cut(e.select("src", "dst").distinct()), cut(order.select("vid", "ord"))
+    n, r = order.count(), 0
+    nearest = cut(order.limit(0).select("vid", F.lit(0).alias("near")))
+    lists: DataFrame | None = None
+    while r < n:
+        frontier = best = cut(order.where((F.col("ord") >= r) & (F.col("ord") < 2 * r + 1)).select("vid", F.col("ord").alias("root")))
+        found = frontier.select("vid", "root", F.lit(0).alias("dist"))
+        for dist in range(1, max_rounds + 1):
+            step = frontier.join(e, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg(F.min("root").alias("root"))
+            step = step.join(nearest, "vid", "left").where(F.col("near").isNull() | (F.col("near") > dist))
+            step = step.join(best.withColumnRenamed("root", "first"), "vid", "left").where("first is null or root < first")
+            frontier = cut(step.select("vid", "root"))
+            if frontier.isEmpty():
+                break
+            found = found.unionAll(frontier.select("vid", "root", F.lit(dist).alias("dist")))
+            best = cut(best.unionAll(frontier).groupBy("vid").agg(F.min("root").alias("root")))
+        else:
+            raise RuntimeError("too many rounds")
+        nearest = cut(nearest.unionAll(found.select("vid", F.col("dist").alias("near"))).groupBy("vid").agg(F.min("near").alias("near")))
+        lists = found if lists is None else lists.unionAll(found)
+        r = 2 * r + 1
+    if lists is None:
+        return order.select("vid", F.col("vid").alias("root"), F.lit(0).alias("dist"))
+    return lists.join(order.select(F.col("vid").alias("by"), F.col("ord").alias("root")), "root").select("vid", F.col("by").alias("root"), "dist")

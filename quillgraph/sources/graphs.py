@@ -120,6 +120,41 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("at")
 
 
+def read_gap_adjacency(spark: SparkSession, path: str, symmetric: bool = False) -> DataFrame:
+    """(src, dst) of a file of numbers: n, m, n degrees, m gaps. A vertex's first neighbour is written as it is, each next one as the distance from the one before.
+
+    With `symmetric`, each edge is in the file in one direction and is returned in both.
+    """
+    from pyspark.sql import Window
+
+    from quillgraph.operators.scan import scan
+    from quillgraph.operators.seq import with_index
+
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("_k", "value"))
+    t = with_index(raw, ["_at", "_k"]).select("idx", F.col("value").cast("long").alias("value"))
+    head = {r.idx: r.value for r in t.where("idx < 2").collect()}
+    n, m = head.get(0, 0), head.get(1, 0)
+    if t.count() != n + m + 2:
+        raise ValueError("the file is to hold n, m, n degrees and m gaps")
+    begins = scan(t.where((F.col("idx") >= 2) & (F.col("idx") < 2 + n)).select((F.col("idx") - 2).alias("idx"), "value"))
+    at = begins.where("value > 0").select(F.col("idx").alias("src"), F.explode(F.sequence("scan", F.col("scan") + F.col("value") - 1)).alias("at"))
+    gaps = at.join(t.where(F.col("idx") >= 2 + n).select((F.col("idx") - 2 - n).alias("at"), "value"), "at")
+    out = gaps.select("src", F.sum("value").over(Window.partitionBy("src").orderBy("at")).alias("dst"))
+    return out.unionAll(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if symmetric else out
+
+
+def write_gap_adjacency(e: DataFrame, n: int, path: str, symmetric: bool = False) -> None:
+    """The edges (src, dst) among vertices 0, ..., n - 1 as `read_gap_adjacency` reads them, a number a line. With `symmetric`, only those with src < dst."""
+    from pyspark.sql import Window
+
+    e = e.select("src", "dst").where("src < dst") if symmetric else e.select("src", "dst")
+    gap = F.col("dst") - F.coalesce(F.lag("dst").over(Window.partitionBy("src").orderBy("dst")), F.lit(0))
+    degree = e.sparkSession.range(n).select(F.col("id").alias("src")).join(e.groupBy("src").agg(F.count("*").alias("d")), "src", "left").select(F.lit(2).alias("k"), "src", F.lit(0).alias("dst"), F.coalesce("d", F.lit(0)).alias("value"))
+    sizes = e.agg(F.count("*").alias("m")).select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(n).cast("long").alias("value")), F.struct(F.lit(1).alias("k"), F.col("m").alias("value")))).alias("s"))
+    rows = sizes.select("s.k", F.lit(0).alias("src"), F.lit(0).alias("dst"), "s.value").unionAll(degree).unionAll(e.select(F.lit(3).alias("k"), "src", "dst", gap.alias("value")))
+    rows.repartitionByRange("k", "src", "dst").sortWithinPartitions("k", "src", "dst", "value").select(F.col("value").cast("string").alias("value")).write.text(path)
+
+
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     """(idx, value) of a typed sequence file, whose header word names the type."""
     kinds = {"sequenceInt": "long", "sequenceDouble": "double", "sequenceChar": "string"}
