@@ -335,3 +335,122 @@ def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import degrees
 
     return degrees(both(spark, sf_dir))
+
+
+# --- trees, learning, bounded graphs -----------------------------------------------------------------------------------
+
+@query("range_min", f"with {S_SQL}, m as (select q.idx as qid, min(b.value * 1000000000 + b.idx) as x from s q join s b on b.idx between q.idx and q.idx + q.value * 7 where q.value >= 45 group by q.idx) select qid, x % 1000000000 as pos, x // 1000000000 as value from m")
+def range_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.trees import range_min as least
+
+    s = items(spark, sf_dir)
+    return least(s.select("idx", "value"), s.where("value >= 45").select(F.col("idx").alias("qid"), F.col("idx").alias("i"), (F.col("idx") + F.col("value") * 7).alias("j")))
+
+
+@query("cartesian_tree", """
+with t as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as p, cast(l_quantity as bigint) as v from lineitem),
+l as (select a.o, a.p, max(b.p) as x from t a join t b on a.o = b.o and b.p < a.p and b.v <= a.v group by all),
+r as (select a.o, a.p, min(b.p) as x from t a join t b on a.o = b.o and b.p > a.p and b.v < a.v group by all)
+select t.o as orderkey, t.p as pos, coalesce(case when lv.v > rv.v then l.x when rv.v is not null then r.x else l.x end, t.p) as parent
+from t left join l using (o, p) left join r using (o, p) left join t lv on lv.o = t.o and lv.p = l.x left join t rv on rv.o = t.o and rv.p = r.x""")
+def cartesian_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.trees import cartesian_tree as parents
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("x"))
+    rows = li.groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l_quantity"].cast("long")).alias("v"))
+    return rows.select("orderkey", F.posexplode(parents("v")).alias("pos", "parent")).select("orderkey", F.col("pos").cast("long").alias("pos"), "parent")
+
+
+@query("huffman_codes")
+def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the codes of all words of the documents."""
+    from quillgraph.operators.trees import huffman_tree
+
+    return huffman_tree(word_counts(spark, sf_dir).select(F.col("word").alias("symbol"), F.col("n").alias("weight"))).where("symbol is not null")
+
+
+@query("suffix_tree_nodes")
+def suffix_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.trees import suffix_tree
+
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(suffix_tree("p_name")).alias("n")).select("p_partkey", "n.*")
+
+
+@query("c45_classify")
+def c45_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tree for the return flag predicts, in counts."""
+    from quillgraph.operators.learning import c45, classify
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.ascii("l_returnflag") - 65).alias("y"), "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"), (F.ascii("l_linestatus") - 65).alias("status"))
+    return classify(li, c45(li, "y", ["l_linenumber", "status"], ["quantity"])).groupBy("y", "predicted").agg(F.count("*").alias("n"))
+
+
+@query("lasso")
+def lasso_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.learning import lasso
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("v"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    w, _ = lasso(li, 10.0)
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "feature long, weight double")
+
+
+@query("linear_program", """
+with h as (select cos(c_custkey * 0.7) as a, sin(c_custkey * 0.7) as b, 1 + (c_custkey % 97) / 100.0::double as c from customer),
+l as (select * from h where a + 0.5 * b > 0 and a * 0.5 - b < 0), r as (select * from h where a + 0.5 * b > 0 and a * 0.5 - b > 0)
+select round(min(((r.b * l.c - l.b * r.c) + 0.5 * (l.a * r.c - r.a * l.c)) / (l.a * r.b - l.b * r.a)), 6) as best from l cross join r""")
+def linear_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.learning import linear_program_2d
+
+    angle = F.col("c_custkey") * 0.7
+    h = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.cos(angle).alias("a"), F.sin(angle).alias("b"), (1 + (F.col("c_custkey") % 97) / 100).alias("c"))
+    x, y = linear_program_2d(h, 1.0, 0.5)
+    return spark.createDataFrame([(round(x + 0.5 * y, 6),)], "best double")
+
+
+@query("le_lists", f"""
+with recursive {NATION_SQL}, d as (select u as src, v as dst from e union all select v, u from e), v as (select distinct src as x from d),
+r(root, vid, dist) as (select x, x, 0 from v union select root, dst, dist + 1 from r join d on src = vid where dist < 8),
+m as (select root, vid, min(dist) as dist from r group by root, vid)
+select vid, root, dist from m where not exists (select 1 from m o where o.vid = m.vid and o.root < m.root and o.dist <= m.dist)""")
+def le_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.graph import le_lists as lists, symmetrise
+
+    from quillgraph.operators.seq import with_index
+
+    e = symmetrise(nations(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    return lists(e, with_index(e.select(F.col("src").alias("vid")).distinct(), ["vid"], "ord"))
+
+
+def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    return e.select(F.lit(0).alias("graph"), F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("cap")).unionAll(e.select(F.lit(0), "v", "u", "w"))
+
+
+@query("max_flow")
+def max_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.bounded import max_flow as flow
+
+    return flow(nation_graph(spark, sf_dir), 0, 24)
+
+
+@query("spectral_partition")
+def spectral_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.operators.bounded import spectral_partition as parts
+
+    return parts(nation_graph(spark, sf_dir))
+
+
+@query("ray_cast")
+def ray_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays upwards from suppliers, and a small triangle for each customer."""
+    from quillgraph.operators.geometry import ray_cast as cast
+
+    def at(key: str):
+        return (F.col(key) * 0.37) % 1, (F.col(key) * 0.61) % 1
+
+    x, y = at("s_suppkey")
+    rays = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("rid"), F.array(x, y, F.lit(0.0)).alias("o"), F.array(F.lit(0.01), F.lit(0.02), F.lit(1.0)).alias("d"))
+    x, y = at("c_custkey")
+    z = 1 + F.col("c_custkey") % 13
+    tri = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("tid"), F.array(x, y, z).alias("a"), F.array(x + 0.2, y, z).alias("b"), F.array(x, y + 0.2, z).alias("c"))
+    return cast(rays, tri)

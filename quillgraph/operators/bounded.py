@@ -80,16 +80,19 @@ def max_flow(e: DataFrame, source: int, sink: int, key: str = "graph", max_edges
 
 
 def fiedler(u: np.ndarray, v: np.ndarray, n: int, error: float = 0.5e-7, max_rounds: int = 1_000_000) -> np.ndarray:
-    """The second eigenvector of the Laplacian, by powers of (largest degree + 1) I - L without its first; checked each 100 rounds. u, v hold both directions."""
+    """The second eigenvector of the Laplacian, by powers of twice the largest degree times I, less L, without the first; checked each 100 rounds.
+
+    That matrix has no negative eigenvalues, so that graphs near bipartite ones converge, too. u, v hold both directions.
+    """
     degree = np.bincount(u, minlength=n)
     x = np.random.default_rng(0).random(n)
     x /= np.linalg.norm(x)
     for k in range(max_rounds):
         y = x - x.mean()
-        new = (degree.max() + 1 - degree) * y + np.bincount(u, y[v], n)
+        new = (2 * degree.max() - degree) * y + np.bincount(u, y[v], n)
         size = np.linalg.norm(new)
-        if size == 0:
-            return new
+        if size < 1e-12:
+            return y
         new /= size
         if k % 100 == 0 and ((new - x) ** 2).sum() < error:
             return new
