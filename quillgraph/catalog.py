@@ -258,7 +258,9 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfs(e, e.agg(F.min("src")).first()[0])
 
 
-@query("shortest_paths")
+@query("shortest_paths", f"""with recursive {SO_SQL}{BOTH_SQL},
+r(vid, dist) using key (vid) as (select (select min(u) from e), 0::bigint union select n.dst, n.x from (select d.dst, min(r.dist + d.w)::bigint as x from r join d on d.src = r.vid group by d.dst) n left join recurring.r o on o.vid = n.dst where o.dist is null or n.x < o.dist)
+select vid, dist from r""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import bellman_ford
 
@@ -440,7 +442,12 @@ def spectral_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(nation_graph(spark, sf_dir))
 
 
-@query("ray_cast")
+@query("ray_cast", """
+with r as (select s_suppkey::bigint as rid, s_suppkey * 0.37::double % 1 as x, s_suppkey * 0.61::double % 1 as y from supplier),
+t as (select c_custkey::bigint as tid, c_custkey * 0.37::double % 1 as x, c_custkey * 0.61::double % 1 as y, (1 + c_custkey % 13)::double as z from customer),
+m as (select rid, tid, z, (r.x + 0.01 * z - t.x) / 0.2 as a, (r.y + 0.02 * z - t.y) / 0.2 as b from r cross join t),
+h as (select rid, arg_min(tid, z * 1000000000 + tid) as tid from m where a >= 0 and b >= 0 and a + b <= 1 group by rid)
+select rid, coalesce(h.tid, -1) as tid from r left join h using (rid)""")
 def ray_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rays upwards from suppliers, and a small triangle for each customer."""
     from quillgraph.operators.geometry import ray_cast as cast
@@ -454,3 +461,6 @@ def ray_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = 1 + F.col("c_custkey") % 13
     tri = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("tid"), F.array(x, y, z).alias("a"), F.array(x + 0.2, y, z).alias("b"), F.array(x, y + 0.2, z).alias("c"))
     return cast(rays, tri)
+
+
+from quillgraph import catalog_more  # noqa: E402, F401  (adds its queries)

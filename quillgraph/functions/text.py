@@ -18,13 +18,17 @@ def tokens(c: Column) -> Column:
 
 
 def token_bounds(c: Column) -> Column:
-    """[(start, end), ...] of the words, from 0, end exclusive."""
-    words = tokens(c)
-    chars = F.split(c, "")
-    flags = F.transform(chars, lambda x: ~x.rlike(SPACE))
-    n = F.size(chars)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(flags, i + 1) & ((i == 0) | ~F.get(flags, F.greatest(i - 1, F.lit(0)))))
-    return F.arrays_zip(starts.alias("start"), F.transform(words, lambda w: F.length(w)).alias("length"))
+    """[(start, end), ...] of the words, from 0, end exclusive. A null text has none."""
+    chars = F.split(F.coalesce(c, F.lit("")), "")
+    word = F.transform(chars, lambda x: (x != "") & ~x.rlike(SPACE))
+    before = F.concat(F.array(F.lit(False)), word)
+    after = F.concat(F.slice(word, 2, F.greatest(F.size(word) - 1, F.lit(0))), F.array(F.lit(False)))
+
+    def where(edge: Column, shift: int) -> Column:
+        at = F.transform(F.arrays_zip(word.alias("w"), edge.alias("e")), lambda x, i: F.when(x["w"] & ~x["e"], i + shift))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    return F.arrays_zip(where(F.slice(before, 1, F.size(word)), 0).alias("start"), where(after, 1).alias("end"))
 
 
 def clean_letters(c: Column) -> Column:

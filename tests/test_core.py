@@ -116,7 +116,7 @@ def test_strings(spark):
     runs = spark.createDataFrame([("a" * 2500,), ("xaaay",), ("aa",), ("",), (None,)], "t string").select(T.match_positions(F.col("t"), "aaa").alias("p")).collect()
     assert [r.p for r in runs] == [list(range(2498)), [1], [], [], []]
     row = spark.createDataFrame([(" one\ttwo\n",)], "t string").select(T.tokens(F.col("t")).alias("w"), T.token_bounds(F.col("t")).alias("b")).first()
-    assert row.w == ["one", "two"] and [(x[0], x[1]) for x in row.b] == [(1, 3), (5, 3)]
+    assert row.w == ["one", "two"] and [(x.start, x.end) for x in row.b] == [(1, 4), (5, 8)]
 
 
 def test_numbers(spark):
