@@ -7,8 +7,10 @@ cut at a document. That fixes each source's exact quota of block draws. A splitt
 sources on the left are a multivariate hypergeometric sample of the node's. A shard takes the next disjoint run of each
 source's permuted draws, as long as its quota, and is shuffled on its own.
 
-All tables but the documents have at most sources x blocks x `cap` rows; no step holds one source's documents together,
-but for the documents of its one block that is cut, which are sorted as (key, size).
+All tables but the documents have at most sources x blocks x `cap` rows, and that of key prefixes in the blocks that are cut,
+16 ** `CUT_DIGITS` / `blocks` a source; no step holds one source's, block's or shard's documents together. The block that is cut is
+pre-aggregated by prefixes of the keys, and only the documents of two prefixes are sorted as (key, size). A shard of more
+than `task_words` words is shuffled and written in several tasks, each with a range of its random order.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ LEVELS = 4
 CAP = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix1"
+#: Leading hexadecimal digits of a key by which the documents of a cut block are pre-aggregated.
+CUT_DIGITS = 6
+#: Words that one task of the mixture shuffles and writes, about.
+TASK_WORDS = 8_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -114,14 +120,35 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
         draws=draws,
     )
     edge = laid.where("before < rest and before + words > rest").select(F.col("_sk").alias("sk"), F.col("_block").alias("bl"), (F.col("rest") - F.col("before")).alias("room"))
-    cuts = spark.sql(
+    at_edge = cut(
+        spark.sql(
+            f"""
+            select _sk, substring(_k, 1, {CUT_DIGITS}) as prefix, room, sum(_size) as words
+            from {{rows}} join {{edge}} on _sk = sk and _block = bl group by _sk, substring(_k, 1, {CUT_DIGITS}), room
+            """,
+            rows=rows.select("_sk", "_block", "_k", "_size"),
+            edge=edge,
+        )
+    )
+    # The cut lies in the last prefix that begins within the room, or at the end of the one before it.
+    near = spark.sql(
         """
-        with g as (select _sk, _k, _size, room, count(*) * _size as words from {rows} join {edge} on _sk = sk and _block = bl group by _sk, _k, _size, room),
-        c as (select *, coalesce(sum(words) over (partition by _sk order by _k, _size rows between unbounded preceding and 1 preceding), 0) as before from g)
+        with c as (select *, coalesce(sum(words) over (partition by _sk order by prefix rows between unbounded preceding and 1 preceding), 0) as begin from {at_edge})
+        select _sk as sk, prefix, room, begin from (select *, row_number() over (partition by _sk order by prefix desc) as back from c where begin <= room) where back <= 2
+        """,
+        at_edge=at_edge,
+    )
+    cuts = spark.sql(
+        f"""
+        with g as (select _sk, prefix, begin, _k, _size, room, count(*) * _size as words
+                   from {{rows}} join {{edge}} e on _sk = e.sk and _block = bl join {{near}} n on _sk = n.sk and substring(_k, 1, {CUT_DIGITS}) = prefix
+                   group by _sk, prefix, begin, _k, _size, room),
+        c as (select *, begin + coalesce(sum(words) over (partition by _sk, prefix order by _k, _size rows between unbounded preceding and 1 preceding), 0) as before from g)
         select _sk, max(struct(_k, _size)) as last from c where before + words / 2 <= room group by _sk
         """,
         rows=rows.select("_sk", "_block", "_k", "_size"),
-        edge=edge,
+        edge=edge.select("sk", "bl"),
+        near=near,
     )
     return cut(
         spark.sql(
@@ -159,9 +186,11 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     return taken.select(F.col("doc_id").alias(id_col), F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"), shards.alias("shards"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, levels: int = LEVELS, seed: str = SEED, shard_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, levels: int = LEVELS, seed: str = SEED, shard_col: str | None = None, task_words: int = TASK_WORDS) -> DataFrame:
     """The mixture: rows of `docs`, each as often as it was drawn, dealt to shards and shuffled within each.
 
+    A shard is one partition, or as many consecutive ones as keep it at about `task_words` words in each.
+
     Columns are those of `docs`, and `shard_col` if given. A row without words is drawn with its block like any other.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
@@ -171,7 +200,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     taken = _join_plan(rows, plan_mix(sized, weights, cap, levels, seed))
     out = taken.select(*names, "_k", F.posexplode("_shards").alias("_epoch", "_shard"))
     local = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_shard"), F.lit(":"), F.col("_k"), F.lit(":"), F.col("_epoch")).cast("binary"))
-    out = out.withColumn("_o", local).repartition("_shard").sortWithinPartitions("_shard", "_o")
+    words = sized.agg(F.sum("_size")).first()[0] or 0
+    parts = 1 + words // (task_words << levels)
+    part = F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * parts / (1 << 32))
+    out = out.withColumn("_o", local).repartitionById(parts << levels, (F.col("_shard") * parts + part).cast("int")).sortWithinPartitions("_shard", "_o")
     out = out.select(*names, "_shard").toDF(*docs.columns, shard_col or "_shard")
     return out if shard_col else out.drop("_shard")
 

@@ -80,6 +80,12 @@ def test_odd_sources_and_the_mixture(spark):
     for r in out.collect():
         drawn[r.doc_id].append(r.shard)
     assert {d: sorted(v) for d, v in drawn.items()} == {d: sorted(v) for d, v in shards.items()}
+    small = M.mix(df, blocks=4, levels=2, shard_col="shard", task_words=300)
+    parts = small.rdd.getNumPartitions()
+    assert parts > 4 and parts % 4 == 0
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, out.collect()))
+    assert [r.shard for r in small.collect()] == sorted(r.shard for r in out.collect())
+    assert [r.doc_id for r in small.collect() if r.shard == 1] == [r.doc_id for r in out.collect() if r.shard == 1]
     assert M.mix(df).columns == df.columns
     assert M.mix_report(df.limit(0)).count() == 0 and M.mix(df.limit(0)).count() == 0
 
