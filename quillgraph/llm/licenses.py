@@ -4,7 +4,11 @@ Words are runs without white space, lower-cased in A-Z and without marks at thei
 five words, or all its words if they are fewer. For a template with n shingles, a text is read in windows of 2 n shingles that
 overlap by half, so that every run of n shingles lies in a window. A window that contains a share c of the template has a Jaccard similarity of at
 least j = c n / (2 n + (1 - c) n); bands of one row each, as many as make 1 - (1 - j) ^ bands at least `recall`, retrieve the templates
-that share the least hash of a band, and the exact share of the template's shingles in the window decides.
+that share the least hash of a band, and the exact share of the template's shingles in the window decides. Texts that have none of a
+template's shingles cannot share a least hash with it, so they skip its bands.
+
+The share asked of n shingles is ceil(0.8 n) of them, which for n < 5 is all: such short notices are found word for word only. Other
+wordings are therefore listed as notices of their own, and whole texts and headers, which allow for changes, stand beside them.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 RECALL = 0.9999
 SEED = 20_011
+#: The leading bits of a shingle's code that are looked up first.
+MARK_BITS = 20
 
 #: Notices of public licenses, as their owners or stewards word them.
 TEMPLATES = {
@@ -38,6 +45,32 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 
+#: More wordings of the short notices; none is a part of another notice, which would report one notice twice.
+NOTICES = {
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-terms": "under the terms of the MIT License",
+    "MIT-distributed": "Distributed under the MIT License.",
+    "Apache-2.0-released": "Released under the Apache License 2.0.",
+    "Apache-2.0-licensed": "Licensed under the Apache License 2.0.",
+    "Apache-2.0-version": "Released under the Apache License, Version 2.0.",
+    "GPL-3.0-released": "Released under the GNU General Public License v3.0.",
+    "GPL-2.0-terms": "under the terms of the GNU General Public License version 2",
+    "GPL-3.0-terms": "under the terms of the GNU General Public License version 3",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+} | {
+    f"{x}-spdx": f"SPDX-License-Identifier: {x}"
+    for x in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+}
+
+
+def all_templates() -> dict[str, str]:
+    """The notices, and the whole texts (NAME-text) and standard headers (NAME-header) in `texts`, which the driver reads."""
+    files = sorted((Path(__file__).parent / "texts").glob("*.txt"))
+    return TEMPLATES | NOTICES | {f.stem if f.stem.endswith("-header") else f"{f.stem}-text": f.read_text("utf-8") for f in files}
+
 
 def words_of(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") for x in (text or "").encode("utf-8", "surrogatepass").lower().split()) if w]
@@ -62,9 +95,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_codes(words: list[bytes], k: int) -> np.ndarray:
-    """A 64-bit code for each run of k words."""
-    w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def shingle_codes(w: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit code for each run of k words, from the words' codes."""
     if len(w) < k:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(w) - k + 1, np.uint64)
@@ -84,14 +120,26 @@ class Scanner:
         self.classes: dict[int, dict[int, list[Template]]] = {}
         for t in self.templates:
             self.classes.setdefault(t.k, {}).setdefault(t.n, []).append(t)
-        self.least = {t.name: [int(band_hashes(shingle_codes(t.words, t.k), b).min()) for b in range(t.bands)] for t in self.templates}
+        self.least: dict[str, list[int]] = {}
+        self.owners: dict[int, dict[int, list[str]]] = {k: {} for k in self.classes}
+        self.marks = {k: np.zeros(1 << MARK_BITS, bool) for k in self.classes}
+        for t in self.templates:
+            codes = shingle_codes(word_codes(t.words), t.k)
+            self.least[t.name] = [int(band_hashes(codes, b).min()) for b in range(t.bands)]
+            self.marks[t.k][codes >> np.uint64(64 - MARK_BITS)] = True
+            for c in set(codes.tolist()):
+                self.owners[t.k].setdefault(c, []).append(t.name)
 
     def candidates(self, words: list[bytes]) -> Iterator[tuple[Template, int]]:
         """(template, first shingle of the window) for each window that a band retrieves."""
-        for k, by_n in self.classes.items():
-            codes = shingle_codes(words, k)
-            if not len(codes):
+        of_words = word_codes(words)
+        for k, of_k in self.classes.items():
+            codes = shingle_codes(of_words, k)
+            marked = codes[self.marks[k][codes >> np.uint64(64 - MARK_BITS)]]
+            live = {name for c in marked.tolist() for name in self.owners[k].get(c, ())}
+            if not live:
                 continue
+            by_n = {n: own for n, ts in of_k.items() if (own := [t for t in ts if t.name in live])}
             found: dict[str, np.ndarray] = {}
             for band in range(max(t.bands for ts in by_n.values() for t in ts)):
                 h = band_hashes(codes, band)
@@ -144,7 +192,7 @@ def _scan(templates: dict[str, str], containment: float, recall: float):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
-    """(id, license, containment, first_word, n_words): for each row of `docs` and template, the best window with at least `containment`.
+    """(id, license, containment, first_word, n_words): for each row of `docs` and template (all_templates() by default), the best window with at least `containment`.
 
     `first_word` and `n_words` are the stretch of words, from 0, between the first and the last shingle found. Null, empty and wordless texts have none;
     texts are read whole. Null and repeated ids are carried along, and repeated rows each have their matches. No templates or an empty table
@@ -152,7 +200,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    out = src.mapInArrow(_scan(TEMPLATES if templates is None else templates, containment, recall), f"_id {kind}, license string, containment double, first_word long, n_words long")
+    out = src.mapInArrow(_scan(all_templates() if templates is None else templates, containment, recall), f"_id {kind}, license string, containment double, first_word long, n_words long")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -63,3 +63,23 @@ def test_edges(spark):
     assert got == sorted([(d, "MIT", 1.0, w, 5) for d, w in ((None, 0), (5, 0), (5, 0), (6, 100_000))], key=str)
     assert L.scan_licenses(df.limit(0)).count() == 0
     assert L.scan_licenses(df, {}).count() == 0
+
+
+def test_whole_texts_and_headers(spark):
+    rng = random.Random(7)
+    templates = L.all_templates()
+    assert {"MIT-text", "ISC-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "Apache-2.0-text", "Apache-2.0-header", "GPL-2.0-text", "GPL-3.0-header", "LGPL-3.0-text", "AGPL-3.0-header", "MPL-2.0-text", "CC-BY-4.0-header"} <= set(templates)
+    rows = []
+    for name, t in templates.items():
+        words = t.split()
+        for _ in range(len(words) // 100):  # a word in a hundred is another
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((name, " ".join([*rng.choices(["lorem", "ipsum", "dolor"], k=rng.randint(0, 300)), *words, "end"])))
+    got = {(r.doc_id, r.license): (r.containment, r.n_words) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, text in rows:
+        words, tw = L.words_of(text), L.words_of(templates[name])
+        k = min(5, len(tw))
+        want, has = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (tw, words))
+        assert got[name, name][0] >= 0.8 and got[name, name][0] <= len(want & has) / len(want)
+    assert {lic for d, lic in got if d == "ISC-text"} == {"ISC-text"}
+    assert L.Scanner(templates).scan("nothing of that kind, but all rights are reserved") == []
