@@ -21,9 +21,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between suppliers and orders, for line items of quantity 1; weights in cents."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity = 1")
+def supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Edges between suppliers and orders, for all line items or, as in the recursive SQL, those of quantity 1; weights in cents."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = li if whole else li.where("l_quantity = 1")
     return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_orderkey") + 1_000_000).alias("v")).agg(F.min(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
 
 
@@ -33,8 +34,8 @@ ee as (select a, b from e union all select b, a from e),
 r(v, l) as (select a, a from ee union select ee.b, r.l from r join ee on ee.a = r.v where r.l < ee.b),
 c as (select v, min(l) as label from r group by v)
 select label, count(*) as vertices from c group by label""")
-def cc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = connected_components(supplier_orders(spark, sf_dir), src="u", dst="v")
+def cc_sizes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    labels = connected_components(supplier_orders(spark, sf_dir, whole), src="u", dst="v")
     return labels.groupBy("label").agg(F.count("*").alias("vertices"))
 
 
@@ -172,10 +173,10 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_index(g, ["u", "v"], "eid")
 
 
-def indexed_supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indexed_supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.seq import with_index
 
-    return with_index(supplier_orders(spark, sf_dir), ["u", "v"], "eid")
+    return with_index(supplier_orders(spark, sf_dir, whole), ["u", "v"], "eid")
 
 
 MSF_TAIL = """
@@ -193,17 +194,17 @@ def msf_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("msf_supplier_orders", f"with recursive {SO_SQL}{MSF_TAIL} select eid, u, v, w from f")
-def msf_supplier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def msf_supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.msf import minimum_spanning_forest
 
-    return minimum_spanning_forest(indexed_supplier_orders(spark, sf_dir)).select("eid", "u", "v", "w")
+    return minimum_spanning_forest(indexed_supplier_orders(spark, sf_dir, whole)).select("eid", "u", "v", "w")
 
 
 @query("msf_weight", f"with recursive {SO_SQL}{MSF_TAIL} select cast(sum(w) as bigint) as total_weight, count(*) as edges from f")
-def msf_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+def msf_weight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.msf import forest_weight
 
-    return forest_weight(msf_supplier_orders(spark, sf_dir))
+    return forest_weight(msf_supplier_orders(spark, sf_dir, whole))
 
 
 @query("msf_chunked", f"with recursive {NATION_SQL}{MSF_TAIL} select eid, u, v, w from f")
@@ -224,47 +225,47 @@ CC_TAIL = ", ee as (select u as a, v as b from e union all select v, u from e),
 
 
 @query("cc_labels", f"with recursive {SO_SQL}{CC_TAIL} select v as vid, min(l) as label from r group by v")
-def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(supplier_orders(spark, sf_dir), src="u", dst="v")
+def cc_labels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return connected_components(supplier_orders(spark, sf_dir, whole), src="u", dst="v")
 
 
 @query("cc_count", f"with recursive {SO_SQL}{CC_TAIL} select count(*) as components from (select v, min(l) as label from r group by v) where v = label")
-def cc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cc_count(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.components import component_count
 
-    return component_count(cc_labels(spark, sf_dir))
+    return component_count(cc_labels(spark, sf_dir, whole))
 
 
 @query("spanning_forest_size", f"with recursive {SO_SQL}{CC_TAIL} select count(*) - count(*) filter (v = label) as edges from (select v, min(l) as label from r group by v)")
-def spanning_forest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spanning_forest_size(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.components import spanning_forest
 
-    return spanning_forest(indexed_supplier_orders(spark, sf_dir), src="u", dst="v").agg(F.count("*").alias("edges"))
+    return spanning_forest(indexed_supplier_orders(spark, sf_dir, whole), src="u", dst="v").agg(F.count("*").alias("edges"))
 
 
 BOTH_SQL = ", d as (select u as src, v as dst, w from e union all select v, u, w from e)"
 
 
-def both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = indexed_supplier_orders(spark, sf_dir)
+def both(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    e = indexed_supplier_orders(spark, sf_dir, whole)
     return e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").unionAll(e.select("v", "u", "w"))
 
 
 @query("bfs_levels", f"with recursive {SO_SQL}{BOTH_SQL}, r(vid, level) as (select (select min(u) from e), 0::bigint union select dst, level + 1 from r join d on src = vid where level < 60) select vid, min(level) as level from r group by vid")
-def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bfs_levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.graph import bfs
 
-    e = both(spark, sf_dir)
+    e = both(spark, sf_dir, whole)
     return bfs(e, e.agg(F.min("src")).first()[0])
 
 
 @query("shortest_paths", f"""with recursive {SO_SQL}{BOTH_SQL},
 r(vid, dist) using key (vid) as (select (select min(u) from e), 0::bigint union select n.dst, n.x from (select d.dst, min(r.dist + d.w)::bigint as x from r join d on d.src = r.vid group by d.dst) n left join recurring.r o on o.vid = n.dst where o.dist is null or n.x < o.dist)
 select vid, dist from r""")
-def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shortest_paths(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.graph import bellman_ford
 
-    e = both(spark, sf_dir)
+    e = both(spark, sf_dir, whole)
     return bellman_ford(e, e.agg(F.min("src")).first()[0])
 
 
@@ -290,14 +291,14 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import kcore as core
 
-    return core(both(spark, sf_dir).select("src", "dst"))
+    return core(both(spark, sf_dir, whole=True).select("src", "dst"))
 
 
 @query("maximal_independent_set")
 def maximal_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import maximal_independent_set as mis
 
-    e = both(spark, sf_dir)
+    e = both(spark, sf_dir, whole=True)
     return mis(e, e.select(F.col("src").alias("vid")))
 
 
@@ -305,14 +306,14 @@ def maximal_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maximal_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import maximal_matching as match
 
-    return match(indexed_supplier_orders(spark, sf_dir).select("eid", F.col("u").alias("src"), F.col("v").alias("dst")))
+    return match(indexed_supplier_orders(spark, sf_dir, whole=True).select("eid", F.col("u").alias("src"), F.col("v").alias("dst")))
 
 
 @query("colouring")
 def colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import colour
 
-    e = both(spark, sf_dir)
+    e = both(spark, sf_dir, whole=True)
     return colour(e, e.select(F.col("src").alias("vid")))
 
 
@@ -320,7 +321,7 @@ def colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import betweenness as delta
 
-    e = both(spark, sf_dir)
+    e = both(spark, sf_dir, whole=True)
     return delta(e, e.agg(F.min("src")).first()[0])
 
 
@@ -333,10 +334,10 @@ def cycle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("edge_degrees", f"with {SO_SQL}{BOTH_SQL} select src as vid, count(*) as degree from d group by src")
-def edge_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_degrees(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.graph import degrees
 
-    return degrees(both(spark, sf_dir))
+    return degrees(both(spark, sf_dir, whole))
 
 
 # --- trees, learning, bounded graphs -----------------------------------------------------------------------------------

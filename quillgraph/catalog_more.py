@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,25 +216,25 @@ def rmat_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("graph_stats", f"with {base.SO_SQL}{base.BOTH_SQL}, g2 as (select src, count(*) as n from d group by src) select cast(sum(n) as bigint) as edges, count(*) as vertices, max(n) as max_degree from g2")
-def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.graph import graph_stats as stats
 
-    return stats(base.both(spark, sf_dir))
+    return stats(base.both(spark, sf_dir, whole))
 
 
 @query("normalised_matrix", f"with {base.SO_SQL}{base.BOTH_SQL} select src, dst, 1.0::double / count(*) over (partition by src) as x from d")
-def normalised_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalised_matrix(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.graph import normalised
 
-    return normalised(base.both(spark, sf_dir).select("src", "dst"))
+    return normalised(base.both(spark, sf_dir, whole).select("src", "dst"))
 
 
 @query("same_component", f"with recursive {base.SO_SQL}{base.CC_TAIL}, l as (select v, min(l) as l from r group by v) select e.u, e.u + 1 as other, coalesce(a.l = b.l, false) as connected from (select distinct u from e) e left join l a on a.v = e.u left join l b on b.v = e.u + 1")
-def same_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+def same_component(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from quillgraph.operators.components import same_component as same
 
-    pairs = base.supplier_orders(spark, sf_dir).select("u").distinct().withColumn("other", F.col("u") + 1)
-    return same(base.cc_labels(spark, sf_dir), "u", "other", pairs)
+    pairs = base.supplier_orders(spark, sf_dir, whole).select("u").distinct().withColumn("other", F.col("u") + 1)
+    return same(base.cc_labels(spark, sf_dir, whole), "u", "other", pairs)
 
 
 @query("heaviest_forest_edge", f"with recursive {base.NATION_SQL}{base.MSF_TAIL} select max(w) as w from f")
@@ -256,19 +257,19 @@ def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_diameter_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import low_diameter_decomposition
 
-    e = base.both(spark, sf_dir)
+    e = base.both(spark, sf_dir, whole=True)
     return low_diameter_decomposition(e, e.select(F.col("src").alias("vid")))
 
 
 # --- files and streams ---------------------------------------------------------------------------------------------------
 
 @query("edge_array_file", f"with {base.SO_SQL} select u as src, v as dst, w::double as w from e")
-def edge_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_array_file(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Edges, written and read again."""
     from quillgraph.sources.graphs import read_edge_array, write_edge_array
 
     path = folder(spark, "edges")
-    write_edge_array(base.supplier_orders(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"), path)
+    write_edge_array(base.supplier_orders(spark, sf_dir, whole).select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"), path)
     return read_edge_array(spark, path)
 
 
@@ -299,12 +300,12 @@ def _stream(edges: DataFrame, fold) -> None:
 
 
 @query("stream_components", f"with recursive {base.SO_SQL}{base.CC_TAIL}, l as (select v, min(l) as l from r group by v) select v as vid, l as label from l where v <> l")
-def stream_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_components(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """What a stream of edges folds into: each vertex but the least of its component, and that."""
     from quillgraph.streaming.folds import ComponentsFold
 
     fold = ComponentsFold(spark, folder(spark, "components"))
-    _stream(base.supplier_orders(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst")), fold)
+    _stream(base.supplier_orders(spark, sf_dir, whole).select(F.col("u").alias("src"), F.col("v").alias("dst")), fold)
     state = fold.state()
     return state.select(F.greatest("u", "v").alias("vid"), F.least("u", "v").alias("label"))
 
@@ -316,3 +317,12 @@ def stream_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = ForestFold(spark, folder(spark, "forest"))
     _stream(base.nations(spark, sf_dir).select("eid", "u", "v", "w"), fold)
     return fold.state().select("eid", "u", "v", "w")
+
+
+# --- whole graphs --------------------------------------------------------------------------------------------------------
+
+#: Queries whose SQL is on line items of quantity 1; NAME_all is on all of them and has no SQL.
+ON_QUANTITY_1 = ("cc_sizes", "cc_labels", "cc_count", "spanning_forest_size", "msf_supplier_orders", "msf_weight", "bfs_levels", "shortest_paths", "edge_degrees", "graph_stats", "normalised_matrix", "same_component", "edge_array_file", "stream_components")
+
+for _name in ON_QUANTITY_1:
+    query(f"{_name}_all")(partial(base.QUERIES[_name], whole=True))
