@@ -176,6 +176,24 @@ def fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fft(t).select("key", "idx", *((F.round(c, 3) + 0).alias(c) for c in ("re", "im")))
 
 
+@query("fourier_all")
+def fourier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of all orders of each customer, padded with zeros to a power of two.
+
+    A customer's sequence is transformed whole, in one task: splitting it would give another transform.
+    """
+    from pyspark.sql import Window
+
+    from quillgraph.operators.numeric import fft
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("key"), "o_orderkey", F.col("o_totalprice").cast("double").alias("re"))
+    t = o.withColumn("idx", F.row_number().over(Window.partitionBy("key").orderBy("o_orderkey", "re")).cast("long") - 1).select("key", "idx", "re")
+    n = t.groupBy("key").agg(F.count("*").alias("n"))
+    up = n.select("key", F.explode(F.expr("sequence(n, cast(shiftleft(1L, length(bin(n - 1))) as bigint))")).alias("idx"), "n").where("n > 1 and idx < shiftleft(1L, length(bin(n - 1)))")
+    t = t.unionAll(up.select("key", "idx", F.lit(0.0)))
+    return fft(t.withColumn("im", F.lit(0.0))).select("key", "idx", *((F.round(c, 3) + 0).alias(c) for c in ("re", "im")))
+
+
 @query("big_integers", """
 with n as (select c_custkey::bigint as k, c_custkey::hugeint * 1000003 * 1000033 * 1009 + 12345 as a, c_custkey::hugeint * 7919 * 104729 as b from customer),
 v as (select k, 'add' as op, a + b as x from n union all select k, 'multiply', a * b from n union all select k, 'subtract', a - b from n)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, deque
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -74,3 +75,17 @@ def test_whole_supplier_graph_without_sql(spark, lines):
     assert all((v in chosen) != bool(near[v] & chosen) for v in near)
     colour = dict(ran(spark, "colouring", folder))
     assert set(colour) == set(near) and all(colour[u] != colour[v] for u, v in w)
+
+
+def test_whole_fourier(spark, tmp_path):
+    rng = random.Random(3)
+    sizes = {1: 1, 2: 2, 3: 3, 4: 5, 5: 8, 6: 9, 7: 37}
+    rows = [(c * 1000 + k, c, rng.randrange(1, 10**6) / 100) for c, n in sizes.items() for k in range(n)]
+    spark.createDataFrame(rng.sample(rows, len(rows)), "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r[0], r[1]): r[2:] for r in ran(spark, "fourier_all", str(tmp_path))}
+    want = {}
+    for c, n in sizes.items():
+        x = [p for _, d, p in rows if d == c]
+        for k, y in enumerate(np.fft.fft(x + [0.0] * ((1 << (n - 1).bit_length()) - n))):
+            want[c, k] = y.real, y.imag
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
