@@ -350,6 +350,16 @@ def range_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return least(s.select("idx", "value"), s.where("value >= 45").select(F.col("idx").alias("qid"), F.col("idx").alias("i"), (F.col("idx") + F.col("value") * 7).alias("j")))
 
 
+@query("range_min_all")
+def range_min_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each line item, with ranges of all lengths up to that of the sequence."""
+    from quillgraph.operators.trees import range_min as least
+
+    s = items(spark, sf_dir).select("idx", "value")
+    n = s.count()
+    return least(s, s.select(F.col("idx").alias("qid"), F.col("idx").alias("i"), (F.col("idx") + F.pmod(F.col("idx") * 7919 + F.col("value") * 104_729, F.lit(n) - F.col("idx"))).alias("j")))
+
+
 @query("cartesian_tree", """
 with t as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as p, cast(l_quantity as bigint) as v from lineitem),
 l as (select a.o, a.p, max(b.p) as x from t a join t b on a.o = b.o and b.p < a.p and b.v <= a.v group by all),

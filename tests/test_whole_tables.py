@@ -89,3 +89,17 @@ def test_whole_fourier(spark, tmp_path):
         for k, y in enumerate(np.fft.fft(x + [0.0] * ((1 << (n - 1).bit_length()) - n))):
             want[c, k] = y.real, y.imag
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
+
+
+def test_whole_range_min(spark, tmp_path):
+    rng = random.Random(5)
+    v = [rng.randrange(1, 51) for _ in range(700)]
+    rows = [(i // 4, i % 4, 0, 0, float(x)) for i, x in enumerate(v)]
+    spark.createDataFrame(rng.sample(rows, len(rows)), "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, longest = [], 0
+    for i, x in enumerate(v):
+        j = i + (i * 7919 + x * 104_729) % (len(v) - i)
+        m, p = min((v[p], p) for p in range(i, j + 1))
+        want.append((i, p, m))
+        longest = max(longest, j + 1 - i)
+    assert longest > 600 and sorted(ran(spark, "range_min_all", str(tmp_path))) == want
