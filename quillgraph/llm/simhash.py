@@ -244,7 +244,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs`, one of each group of near duplicates: that with the smallest id (null ids last).
 
-    An id names a document: of rows that share one, that with the smallest text stays (null last). A row without an id
+    An id names a document: of rows that share one, and are not near copies of one with a smaller id, that with the smallest text
+    stays (null last). A row without an id
     goes if a row with one is in its group; else one such row of the group stays. All columns are kept.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
@@ -254,9 +255,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     prints = cut(fingerprints(rows.select(id_.alias("doc_id"), text.alias("text"))))
     groups = near_groups(prints, threshold=threshold)
     order = [text.asc_nulls_last(), *(F.col(n).cast("string") for n in names)]
-    winners = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_w")).distinct()
+    won = F.col("doc_id") == F.col("component_id")
+    state = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_w")).agg(F.bool_or(won).alias("_any"), F.bool_and(won).alias("_all")).where("_any"))
     first = Window.partitionBy(at[id_col]).orderBy(*order)
-    kept = rows.join(winners, id_ == F.col("_w"), "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    kept = rows.join(state.where("_all").select("_w"), id_ == F.col("_w"), "left_semi")
+    mixed = state.where("not _all").select("_w")
+    if not mixed.isEmpty():  # ids of which some rows are near copies of a smaller id's: their other rows
+        some = fingerprints(rows.join(mixed, id_ == F.col("_w"), "left_semi"), at[text_col], tuple(names))
+        own = groups.where(won).select(F.col("doc_id").alias("_d"), F.col("_fp").alias("_f")).distinct()
+        kept = kept.unionAll(some.join(own, (id_ == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left_semi").select(*names))
+    kept = kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     nameless = groups.where("component_id is null").select(F.col("_fp").alias("_f"), "label").distinct()
     unnamed = fingerprints(rows.where(id_.isNull()), at[text_col], tuple(names)).join(nameless, F.col("_fp") == F.col("_f"))
     unnamed = unnamed.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where("_r = 1")

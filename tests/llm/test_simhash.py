@@ -76,6 +76,12 @@ def test_edges_and_extra_columns(spark):
     assert sorted([(r.doc_id, r.text and r.text[:12]) for r in kept.collect()], key=key) == sorted([(1, None), (4, "Alpha Beta"), (7, "Ä ä é"), (8, "ä ä é"), (9, "w w w w w w "), (10, "a b c d"), (None, "lonely words")], key=key)
 
 
+def test_repeated_id_with_a_near_copy_of_another(spark):
+    rows = [(5, "alpha beta"), (10, "Alpha Beta"), (10, "zz yy xx ww"), (11, "own words"), (11, "own words"), (12, "ALPHA beta")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(5, "alpha beta"), (10, "zz yy xx ww"), (11, "own words")]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_dedup(df).count() == 0
