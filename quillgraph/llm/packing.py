@@ -1,12 +1,12 @@
-"""Tokenizing documents and packing the pieces into sequences, by bulk-synchronous best fit.
+"""Tokenizing documents and packing the pieces into sequences, by best fit decreasing over run lengths.
 
-Pieces are range-sorted by length, longest first. A round takes the pieces of one length and the gaps of the sequences that are
-open: each piece wants its successor among the gaps, the smallest that holds it; pieces that want the same gaps are ranked, and by
-rank they fill them, as often as they go in; the gaps are updated, what finds none opens sequences, and the next round begins.
-That gives exactly the packing of best fit decreasing.
+Pieces are range-sorted by length, longest first, and counted by length. A sequential loop on the driver then goes over the
+lengths: each takes the smallest gap that holds it, as many pieces at once as there are sequences with that gap, and what finds
+none opens sequences. That gives exactly the packing of best fit decreasing.
 
-Both sorted sequences are kept run-length coded. A length is at most `capacity`, so there are at most that many rounds and
-about as many runs, however many documents there are, and the sweep over them is short. All that is done for each document, the sort, its rank
+The loop stands for bulk-synchronous rounds of distributed successor sweeps over range-sorted gaps, with conflicts settled by rank;
+none of that is here. Pieces and gaps are kept run-length coded and a length is at most `capacity`, so there are about that many
+runs, however many documents there are, and the loop over them is short. All that is done for each document, the sort, its rank
 within its length and its place, is distributed: a partition ranks its own rows, and the counts of a partition and length
 (at most partitions + capacity of them, the rows being range-sorted) give each its first rank.
 """
