@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.components import connected_components
-
 QUERIES = {}
 ORACLES = {}
 
@@ -21,24 +19,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Edges between suppliers and orders, for all line items or, as in the recursive SQL, those of quantity 1; weights in cents."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    li = li if whole else li.where("l_quantity = 1")
-    return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_orderkey") + 1_000_000).alias("v")).agg(F.min(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
-
-
-@query("cc_sizes", """
-with recursive e as (select distinct l_suppkey as a, 1000000 + l_orderkey as b from lineitem where l_quantity = 1),
-ee as (select a, b from e union all select b, a from e),
-r(v, l) as (select a, a from ee union select ee.b, r.l from r join ee on ee.a = r.v where r.l < ee.b),
-c as (select v, min(l) as label from r group by v)
-select label, count(*) as vertices from c group by label""")
-def cc_sizes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    labels = connected_components(supplier_orders(spark, sf_dir, whole), src="u", dst="v")
-    return labels.groupBy("label").agg(F.count("*").alias("vertices"))
-
-
 # --- sequences: line items in order ------------------------------------------------------------------------------
 
 S_SQL = "s as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as idx, cast(l_quantity as bigint) as value, l_linenumber as key from lineitem)"
@@ -159,7 +139,6 @@ NATION_SQL = """
 g as (select least(c.c_nationkey, s.s_nationkey)::bigint as u, greatest(c.c_nationkey, s.s_nationkey)::bigint as v, min(cast(round(o_totalprice * 100) as bigint)) as w
       from lineitem join orders o on l_orderkey = o_orderkey join customer c on o_custkey = c_custkey join supplier s on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2),
 e as (select row_number() over (order by u, v) - 1 as eid, u, v, w from g)"""
-SO_SQL = "g as (select l_suppkey as u, 1000000 + l_orderkey as v, min(cast(round(l_extendedprice * 100) as bigint)) as w from lineitem where l_quantity = 1 group by 1, 2), e as (select row_number() over (order by u, v) - 1 as eid, u, v, w from g)"
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,12 +152,6 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_index(g, ["u", "v"], "eid")
 
 
-def indexed_supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.seq import with_index
-
-    return with_index(supplier_orders(spark, sf_dir, whole), ["u", "v"], "eid")
-
-
 MSF_TAIL = """
 , ee as (select eid, u as a, v as b, w from e union all select eid, v, u, w from e),
 r(x, xw, v) as (select eid, w, u from e union select r.x, r.xw, ee.b from r join ee on ee.a = r.v and (ee.w < r.xw or (ee.w = r.xw and ee.eid < r.x))),
@@ -193,20 +166,6 @@ def msf_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimum_spanning_forest(nations(spark, sf_dir)).select("eid", "u", "v", "w")
 
 
-@query("msf_supplier_orders", f"with recursive {SO_SQL}{MSF_TAIL} select eid, u, v, w from f")
-def msf_supplier_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.msf import minimum_spanning_forest
-
-    return minimum_spanning_forest(indexed_supplier_orders(spark, sf_dir, whole)).select("eid", "u", "v", "w")
-
-
-@query("msf_weight", f"with recursive {SO_SQL}{MSF_TAIL} select cast(sum(w) as bigint) as total_weight, count(*) as edges from f")
-def msf_weight(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.msf import forest_weight
-
-    return forest_weight(msf_supplier_orders(spark, sf_dir, whole))
-
-
 @query("msf_chunked", f"with recursive {NATION_SQL}{MSF_TAIL} select eid, u, v, w from f")
 def msf_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.msf import chunked_msf
@@ -221,54 +180,6 @@ def msf_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimum_spanning_forest(nations(spark, sf_dir), maximum=True).select("eid", "u", "v", "w")
 
 
-CC_TAIL = ", ee as (select u as a, v as b from e union all select v, u from e), r(v, l) as (select a, a from ee union select ee.b, r.l from r join ee on ee.a = r.v where r.l < ee.b)"
-
-
-@query("cc_labels", f"with recursive {SO_SQL}{CC_TAIL} select v as vid, min(l) as label from r group by v")
-def cc_labels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return connected_components(supplier_orders(spark, sf_dir, whole), src="u", dst="v")
-
-
-@query("cc_count", f"with recursive {SO_SQL}{CC_TAIL} select count(*) as components from (select v, min(l) as label from r group by v) where v = label")
-def cc_count(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.components import component_count
-
-    return component_count(cc_labels(spark, sf_dir, whole))
-
-
-@query("spanning_forest_size", f"with recursive {SO_SQL}{CC_TAIL} select count(*) - count(*) filter (v = label) as edges from (select v, min(l) as label from r group by v)")
-def spanning_forest_size(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.components import spanning_forest
-
-    return spanning_forest(indexed_supplier_orders(spark, sf_dir, whole), src="u", dst="v").agg(F.count("*").alias("edges"))
-
-
-BOTH_SQL = ", d as (select u as src, v as dst, w from e union all select v, u, w from e)"
-
-
-def both(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    e = indexed_supplier_orders(spark, sf_dir, whole)
-    return e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").unionAll(e.select("v", "u", "w"))
-
-
-@query("bfs_levels", f"with recursive {SO_SQL}{BOTH_SQL}, r(vid, level) as (select (select min(u) from e), 0::bigint union select dst, level + 1 from r join d on src = vid where level < 60) select vid, min(level) as level from r group by vid")
-def bfs_levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.graph import bfs
-
-    e = both(spark, sf_dir, whole)
-    return bfs(e, e.agg(F.min("src")).first()[0])
-
-
-@query("shortest_paths", f"""with recursive {SO_SQL}{BOTH_SQL},
-r(vid, dist) using key (vid) as (select (select min(u) from e), 0::bigint union select n.dst, n.x from (select d.dst, min(r.dist + d.w)::bigint as x from r join d on d.src = r.vid group by d.dst) n left join recurring.r o on o.vid = n.dst where o.dist is null or n.x < o.dist)
-select vid, dist from r""")
-def shortest_paths(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.graph import bellman_ford
-
-    e = both(spark, sf_dir, whole)
-    return bellman_ford(e, e.agg(F.min("src")).first()[0])
-
-
 @query("triangles", f"with {NATION_SQL} select count(*) as triangles, 2 * count(*) as twice from e a join e b on a.v = b.u join e c on c.u = a.u and c.v = b.v")
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.graph import triangles as count
@@ -287,71 +198,10 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(symmetrise(nations(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))), 25).select("vid", F.round("rank", 9).alias("rank"))
 
 
-@query("kcore")
-def kcore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import kcore as core
-
-    return core(both(spark, sf_dir, whole=True).select("src", "dst"))
-
-
-@query("maximal_independent_set")
-def maximal_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import maximal_independent_set as mis
-
-    e = both(spark, sf_dir, whole=True)
-    return mis(e, e.select(F.col("src").alias("vid")))
-
-
-@query("maximal_matching")
-def maximal_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import maximal_matching as match
-
-    return match(indexed_supplier_orders(spark, sf_dir, whole=True).select("eid", F.col("u").alias("src"), F.col("v").alias("dst")))
-
-
-@query("colouring")
-def colouring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import colour
-
-    e = both(spark, sf_dir, whole=True)
-    return colour(e, e.select(F.col("src").alias("vid")))
-
-
-@query("betweenness")
-def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import betweenness as delta
-
-    e = both(spark, sf_dir, whole=True)
-    return delta(e, e.agg(F.min("src")).first()[0])
-
-
-@query("cycle_count")
-def cycle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import cycle_count as cycles
-    from quillgraph.operators.scan import rank
-
-    return cycles(rank(items(spark, sf_dir)).select("idx", F.col("rank").alias("value")))
-
-
-@query("edge_degrees", f"with {SO_SQL}{BOTH_SQL} select src as vid, count(*) as degree from d group by src")
-def edge_degrees(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.graph import degrees
-
-    return degrees(both(spark, sf_dir, whole))
-
-
 # --- trees, learning, bounded graphs -----------------------------------------------------------------------------------
 
-@query("range_min", f"with {S_SQL}, m as (select q.idx as qid, min(b.value * 1000000000 + b.idx) as x from s q join s b on b.idx between q.idx and q.idx + q.value * 7 where q.value >= 45 group by q.idx) select qid, x % 1000000000 as pos, x // 1000000000 as value from m")
+@query("range_min", f"with {S_SQL}, m as (select idx, min(value * 1000000000 + idx) over (order by idx rows between current row and cast((idx * 7919 + value * 104729) % ((select count(*) from s) - idx) as bigint) following) as x from s) select idx as qid, x % 1000000000 as pos, x // 1000000000 as value from m")
 def range_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.trees import range_min as least
-
-    s = items(spark, sf_dir)
-    return least(s.select("idx", "value"), s.where("value >= 45").select(F.col("idx").alias("qid"), F.col("idx").alias("i"), (F.col("idx") + F.col("value") * 7).alias("j")))
-
-
-@query("range_min_all")
-def range_min_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query for each line item, with ranges of all lengths up to that of the sequence."""
     from quillgraph.operators.trees import range_min as least
 
@@ -374,19 +224,35 @@ def cartesian_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("orderkey", F.posexplode(parents("v")).alias("pos", "parent")).select("orderkey", F.col("pos").cast("long").alias("pos"), "parent")
 
 
-@query("huffman_codes")
+@query("huffman_codes", """
+with recursive l as (select c, count(*) as n from (select unnest(string_split(text, '')) as c from documents) group by c),
+h(a, bits) as (select list(n order by n), 0::bigint from l union all select list_sort(list_append(a[3:], a[1] + a[2])), bits + a[1] + a[2] from h where len(a) > 1)
+select (select count(*) from l) as symbols, max(bits) as bits, true as complete from h""")
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of the codes of all words of the documents."""
+    """Of codes for all characters of the documents: the symbols, the bits of all texts, which no other codes make fewer, and whether the lengths fill a binary tree."""
     from quillgraph.operators.trees import huffman_tree
 
-    return huffman_tree(word_counts(spark, sf_dir).select(F.col("word").alias("symbol"), F.col("n").alias("weight"))).where("symbol is not null")
+    chars = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "")).alias("symbol")).where("symbol <> ''")
+    codes = huffman_tree(chars.groupBy("symbol").agg(F.count("*").alias("weight"))).where("symbol is not null")
+    return codes.agg(F.count("*").alias("symbols"), F.sum(F.col("weight") * F.col("depth")).cast("long").alias("bits"), (F.sum(F.pow(F.lit(2.0), -F.col("depth"))) == 1).alias("complete"))
 
 
-@query("suffix_tree_nodes")
+@query("suffix_tree_nodes", """
+with t as (select p_partkey as k, p_name as s from part), i as (select k, s, unnest(range(length(s)))::bigint as i from t),
+u as (select k, s, i, unnest(range(0, (length(s) - i + 1)::bigint)) as n from i),
+b as (select k, substr(s, i::int + 1, n::int) as x from u group by all having count(distinct substr(s, i::int + n::int + 1, 1)) > 1 union select k, '' from t),
+p as (select a.k, a.x, max(length(b.x)) as above from b a join b on a.k = b.k and length(b.x) < length(a.x) and starts_with(a.x, b.x) group by a.k, a.x),
+l as (select i.k, i.i, substr(s, i.i::int + 1) as x, max(length(b.x)) as above from i join b on i.k = b.k and starts_with(substr(s, i.i::int + 1), b.x) group by i.k, i.i, s)
+select k as p_partkey, 'branch' as kind, null::bigint as start, b.x as text, coalesce(above, 0) as above from b left join p using (k, x)
+union all select k, 'leaf', i, x, above from l""")
 def suffix_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the suffix trees of all parts' names: their text, for leaves their start, and the length of the text of the branch above."""
     from quillgraph.operators.trees import suffix_tree
 
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.explode(suffix_tree("p_name")).alias("n")).select("p_partkey", "n.*")
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", suffix_tree("p_name").alias("t")).select("p_partkey", "p_name", F.explode("t").alias("n"), F.map_from_entries(F.transform("t", lambda x: F.struct(x["node"], x["depth"]))).alias("depths"))
+    leaf = F.col("n.node") % 2 == 0
+    text = F.substring("p_name", F.col("n.start") + 1, F.col("n.depth"))
+    return n.select("p_partkey", F.when(leaf, "leaf").otherwise("branch").alias("kind"), F.when(leaf, F.col("n.start")).alias("start"), text.alias("text"), F.element_at("depths", F.col("n.parent")).alias("above"))
 
 
 @query("c45_classify")
@@ -398,7 +264,13 @@ def c45_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(li, c45(li, "y", ["l_linenumber", "status"], ["quantity"])).groupBy("y", "predicted").agg(F.count("*").alias("n"))
 
 
-@query("lasso")
+@query("lasso", """
+with recursive x as (select l_quantity::double as a, l_discount::double as b, l_tax::double as c, (l_extendedprice / 1000)::double as y from lineitem),
+g as (select sum(a*a) as aa, sum(a*b) as ab, sum(a*c) as ac, sum(b*b) as bb, sum(b*c) as bc, sum(c*c) as cc, sum(a*y) as ay, sum(b*y) as yb, sum(c*y) as cy from x),
+w(k, p, q, r) as (select 0, 0.0::double, 0.0::double, 0.0::double
+ union all select k + 1, p1, q1, sign(pc) * greatest(abs(pc) - 10, 0) / (2 * cc) from (select *, 2 * (cy - ac * p1 - bc * q1) as pc from (select *, sign(pb) * greatest(abs(pb) - 10, 0) / (2 * bb) as q1 from (select *, 2 * (yb - ab * p1 - bc * r) as pb from (select *, sign(pa) * greatest(abs(pa) - 10, 0) / (2 * aa) as p1 from (select *, 2 * (ay - ab * q - ac * r) as pa from w, g where k < 2000)))))),
+e as (select p, q, r from w where k = 2000)
+select 0::bigint as feature, round(p, 6) as weight from e union all select 1, round(q, 6) from e union all select 2, round(r, 6) from e""")
 def lasso_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.learning import lasso
 
@@ -439,7 +311,7 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit(0).alias("graph"), F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("cap")).unionAll(e.select(F.lit(0), "v", "u", "w"))
 
 
-@query("max_flow")
+@query("max_flow", f"with {NATION_SQL} select 0::int as graph, least(cast(sum(w) filter (u = 0 or v = 0) as bigint), cast(sum(w) filter (u = 24 or v = 24) as bigint)) as flow from e")
 def max_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.bounded import max_flow as flow
 
@@ -474,4 +346,4 @@ def ray_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cast(rays, tri)
 
 
-from quillgraph import catalog_more  # noqa: E402, F401  (adds its queries)
+from quillgraph import catalog_files, catalog_graphs, catalog_more  # noqa: E402, F401  (they add their queries)

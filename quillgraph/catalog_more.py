@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import catalog as base
 from quillgraph.catalog import query
-from quillgraph.plans.cut import shared_dir
+from quillgraph.functions.scalar import MIX_PRIME, mix_sql
+from quillgraph.plans.cut import cut, shared_dir
 
 POINT_SQL = "p as (select c_custkey::bigint as id, (c_custkey * 37 % 211)::double as x, (c_custkey * 61 % 223)::double as y, (c_custkey * 17 % 227)::double as z from customer)"
 
@@ -67,7 +67,21 @@ def upper_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hull(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("idx"), k.cast("double").alias("x"), (k * 7919 % 10007).cast("double").alias("y")))
 
 
-@query("kmeans")
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Centres drawn one by one, then so many rounds."""
+    far = lambda c: f"((x - {c}.x) * (x - {c}.x) + (y - {c}.y) * (y - {c}.y) + (z - {c}.z) * (z - {c}.z))"
+    q = f"with {POINT_SQL}, c0 as (select x, y, z from p order by {mix_sql('id')}, id limit 1)"
+    for r in range(1, k):
+        near = f"least({', '.join(far(f'c{i}') for i in range(r))}, 'infinity'::double)"
+        q += f", c{r} as materialized (select p.x, p.y, p.z from p, {', '.join(f'c{i}' for i in range(r))} order by case when {near} > 0 then -ln(({mix_sql('id', r)} + 1) / {MIX_PRIME + 1}.0::double) / {near} else 'infinity'::double end, id limit 1)".replace("(x - ", "(p.x - ").replace("(y - ", "(p.y - ").replace("(z - ", "(p.z - ")
+    q += ", r0 as (" + " union all ".join(f"select {i} as c, x, y, z from c{i}" for i in range(k)) + ")"
+    for r in range(1, rounds + 1):
+        q += f""", a{r} as (select p.x, p.y, p.z, arg_min(o.c, ((p.x - o.x) ** 2 + (p.y - o.y) ** 2 + (p.z - o.z) ** 2, o.c)) as c from p, r{r - 1} o group by p.id, p.x, p.y, p.z),
+r{r} as materialized (select o.c, coalesce(avg(a.x), any_value(o.x)) as x, coalesce(avg(a.y), any_value(o.y)) as y, coalesce(avg(a.z), any_value(o.z)) as z from r{r - 1} o left join a{r} a on a.c = o.c group by o.c)"""
+    return q + f" select c::bigint as centre, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from r{rounds}"
+
+
+@query("kmeans", _kmeans_sql(5, 10))
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five centres of the customers."""
     from quillgraph.operators.numeric import kmeans as centres
@@ -131,24 +145,29 @@ def burrows_wheeler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("partkey"), F.translate(code("p_name"), "\0", "$").alias("coded"))
 
 
-@query("edit_distances")
+@query("edit_distances", """
+with recursive t as (select p_partkey as k, p_name as a, p_type as b from part),
+r(k, i, j, x) as (select k, 0::bigint, j, j from t, range(length(b) + 1) q(j)
+ union all select k, i + 1, j, min(y - j) over (partition by k order by j) + j
+ from (select r.k, r.i, r.j, case when r.j > 0 and substr(t.a, r.i::int + 1, 1) = substr(t.b, r.j::int, 1) then least(r.x + 1, lag(r.x) over (partition by r.k order by r.j)) else r.x + 1 end as y from r join t using (k) where r.i < length(t.a)))
+select k as p_partkey, x as distance from r join t using (k) where i = length(a) and j = length(b)""")
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insertions and deletions between the names of nations and of their regions."""
+    """Insertions and deletions between the name and the type of each part."""
     from quillgraph.functions.text import insert_delete_distance
 
-    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", insert_delete_distance("n_name", "r_name").alias("distance"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", insert_delete_distance("p_name", "p_type").alias("distance"))
 
 
 @query("token_bounds", """
-with f as (select item_id, unnest(regexp_extract_all(text, '[^ \\f\\n\\r\\t\\x0B]+|[ \\f\\n\\r\\t\\x0B]+')) as x, generate_subscripts(regexp_extract_all(text, '[^ \\f\\n\\r\\t\\x0B]+|[ \\f\\n\\r\\t\\x0B]+'), 1) as k from benchmark),
-c as (select item_id, x, sum(length(x)) over (partition by item_id order by k)::bigint as e from f)
-select item_id, e - length(x) as "start", e as "end" from c where trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
+with f as (select doc_id, unnest(regexp_extract_all(text, '[^ \\f\\n\\r\\t\\x0B]+|[ \\f\\n\\r\\t\\x0B]+')) as x, generate_subscripts(regexp_extract_all(text, '[^ \\f\\n\\r\\t\\x0B]+|[ \\f\\n\\r\\t\\x0B]+'), 1) as k from documents),
+c as (select doc_id, x, sum(length(x)) over (partition by doc_id order by k)::bigint as e from f)
+select doc_id, e - length(x) as "start", e as "end" from c where trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
 def token_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of all words of all documents."""
     from quillgraph.functions.text import token_bounds as bounds
 
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(bounds(F.col("text"))).alias("b"))
-    return b.select("item_id", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
+    b = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(bounds(F.col("text"))).alias("b"))
+    return b.select("doc_id", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
 
 
 # --- numbers -------------------------------------------------------------------------------------------------------------
@@ -161,23 +180,9 @@ def integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fourier", """
-with h as (select o_custkey::bigint as key, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx, count(*) over (partition by o_custkey) as n, cast(o_totalprice as double) as re from orders)
-select key, k as idx, round(sum(re * cos(-2 * pi() * h.idx * k / 8)), 3) + 0 as re, round(sum(re * sin(-2 * pi() * h.idx * k / 8)), 3) + 0 as im from h cross join range(8) r(k) where h.idx < 8 and n >= 8 group by key, k""")
+with h as (select o_custkey::bigint as key, row_number() over (partition by o_custkey order by o_orderkey, o_totalprice) - 1 as idx, cast(o_totalprice as double) as re, (2 ** ceil(log2(count(*) over (partition by o_custkey))))::bigint as n from orders)
+select key, k as idx, round(sum(re * cos(-2 * pi() * ((h.idx * k) % n) / n)), 3) + 0 as re, round(sum(re * sin(-2 * pi() * ((h.idx * k) % n) / n)), 3) + 0 as im from (select *, unnest(range(n)) as k from h) h group by key, k""")
 def fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transform of the first eight orders of each customer that has as many."""
-    from pyspark.sql import Window
-
-    from quillgraph.operators.numeric import fft
-
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    w = Window.partitionBy("key").orderBy("o_orderkey")
-    t = o.select(F.col("o_custkey").cast("long").alias("key"), "o_orderkey", F.col("o_totalprice").cast("double").alias("re")).withColumn("idx", F.row_number().over(w) - 1).where("idx < 8")
-    t = t.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n = 8").select("key", "idx", "re", F.lit(0.0).alias("im"))
-    return fft(t).select("key", "idx", *((F.round(c, 3) + 0).alias(c) for c in ("re", "im")))
-
-
-@query("fourier_all")
-def fourier_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform of all orders of each customer, padded with zeros to a power of two.
 
     A customer's sequence is transformed whole, in one task: splitting it would give another transform.
@@ -224,73 +229,31 @@ def grid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, 40)
 
 
-@query("rmat_components")
-def rmat_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the components of a recursive-matrix graph."""
-    from quillgraph.operators.components import connected_components
-    from quillgraph.operators.graph import rmat
-
-    return connected_components(rmat(spark, 12, 20_000), spark.range(1 << 12).select(F.col("id").alias("vid"))).groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query("graph_stats", f"with {base.SO_SQL}{base.BOTH_SQL}, g2 as (select src, count(*) as n from d group by src) select cast(sum(n) as bigint) as edges, count(*) as vertices, max(n) as max_degree from g2")
-def graph_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.graph import graph_stats as stats
-
-    return stats(base.both(spark, sf_dir, whole))
-
-
-@query("normalised_matrix", f"with {base.SO_SQL}{base.BOTH_SQL} select src, dst, 1.0::double / count(*) over (partition by src) as x from d")
-def normalised_matrix(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.graph import normalised
-
-    return normalised(base.both(spark, sf_dir, whole).select("src", "dst"))
-
-
-@query("same_component", f"with recursive {base.SO_SQL}{base.CC_TAIL}, l as (select v, min(l) as l from r group by v) select e.u, e.u + 1 as other, coalesce(a.l = b.l, false) as connected from (select distinct u from e) e left join l a on a.v = e.u left join l b on b.v = e.u + 1")
-def same_component(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from quillgraph.operators.components import same_component as same
-
-    pairs = base.supplier_orders(spark, sf_dir, whole).select("u").distinct().withColumn("other", F.col("u") + 1)
-    return same(base.cc_labels(spark, sf_dir, whole), "u", "other", pairs)
-
-
-@query("heaviest_forest_edge", f"with recursive {base.NATION_SQL}{base.MSF_TAIL} select max(w) as w from f")
+@query("heaviest_forest_edge", f"with recursive {base.NATION_SQL}{base.MSF_TAIL} select eid, w from f order by w desc, eid limit 1")
 def heaviest_forest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators.msf import heaviest_edge
 
-    return heaviest_edge(base.msf_nations(spark, sf_dir)).select("w")
+    return heaviest_edge(base.msf_nations(spark, sf_dir)).select("eid", "w")
 
 
-@query("set_cover")
+@query("set_cover", """
+with n as (select count(distinct l_partkey) as parts from lineitem), m as (select max(k) as k from (select count(distinct l_partkey) as k from lineitem group by l_suppkey))
+select parts as covered, true as few, true as chosen_are_sets from n, m""")
 def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that together supply every part."""
+    """Of suppliers that together supply every part: how many parts they have, whether they are as few as 1.1 * (1 + ln n) times the least possible allows, and whether all are suppliers."""
     from quillgraph.operators.graph import set_cover as cover
 
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return cover(li.select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element")))
-
-
-@query("low_diameter_clusters")
-def low_diameter_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.operators.graph import low_diameter_decomposition
-
-    e = base.both(spark, sf_dir, whole=True)
-    return low_diameter_decomposition(e, e.select(F.col("src").alias("vid")))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element")).distinct()
+    chosen = cut(cover(li))
+    covered = li.join(chosen, "set").agg(F.countDistinct("element").alias("covered"))
+    bound = li.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest")).join(li.agg(F.countDistinct("element").alias("parts")))
+    used = chosen.agg(F.count("*").alias("used"), F.countDistinct("set").alias("sets")).join(chosen.join(li, "set", "left_anti").agg(F.count("*").alias("strange")))
+    few = F.col("used") <= F.ceil(F.col("parts") / F.col("largest")) * 1.1 * 1.1 * (1 + F.log("parts"))
+    return covered.join(bound).join(used).select("covered", few.alias("few"), ((F.col("strange") == 0) & (F.col("used") == F.col("sets"))).alias("chosen_are_sets"))
 
 
 # --- files and streams ---------------------------------------------------------------------------------------------------
 
-@query("edge_array_file", f"with {base.SO_SQL} select u as src, v as dst, w::double as w from e")
-def edge_array_file(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Edges, written and read again."""
-    from quillgraph.sources.graphs import read_edge_array, write_edge_array
-
-    path = folder(spark, "edges")
-    write_edge_array(base.supplier_orders(spark, sf_dir, whole).select(F.col("u").alias("src"), F.col("v").alias("dst"), "w"), path)
-    return read_edge_array(spark, path)
-
-
 @query("sequence_file", f"with {base.S_SQL} select idx, value from s")
 def sequence_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.sources.graphs import read_sequence, write_sequence
@@ -309,23 +272,12 @@ def gap_adjacency_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_gap_adjacency(spark, path, symmetric=True)
 
 
-def _stream(edges: DataFrame, fold) -> None:
+def stream(edges: DataFrame, fold) -> None:
     """Feeds `edges`, in four files, through the fold."""
     spark, path = edges.sparkSession, folder(edges.sparkSession, "stream")
     edges.repartition(4, F.xxhash64(*edges.columns)).write.parquet(path)
-    stream = spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-
-
-@query("stream_components", f"with recursive {base.SO_SQL}{base.CC_TAIL}, l as (select v, min(l) as l from r group by v) select v as vid, l as label from l where v <> l")
-def stream_components(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """What a stream of edges folds into: each vertex but the least of its component, and that."""
-    from quillgraph.streaming.folds import ComponentsFold
-
-    fold = ComponentsFold(spark, folder(spark, "components"))
-    _stream(base.supplier_orders(spark, sf_dir, whole).select(F.col("u").alias("src"), F.col("v").alias("dst")), fold)
-    state = fold.state()
-    return state.select(F.greatest("u", "v").alias("vid"), F.least("u", "v").alias("label"))
+    source = spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source.writeStream.foreachBatch(fold).option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
 
 
 @query("stream_forest", f"with recursive {base.NATION_SQL}{base.MSF_TAIL} select eid, u, v, w from f")
@@ -333,14 +285,5 @@ def stream_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.streaming.folds import ForestFold
 
     fold = ForestFold(spark, folder(spark, "forest"))
-    _stream(base.nations(spark, sf_dir).select("eid", "u", "v", "w"), fold)
+    stream(base.nations(spark, sf_dir).select("eid", "u", "v", "w"), fold)
     return fold.state().select("eid", "u", "v", "w")
-
-
-# --- whole graphs --------------------------------------------------------------------------------------------------------
-
-#: Queries whose SQL is on line items of quantity 1; NAME_all is on all of them and has no SQL.
-ON_QUANTITY_1 = ("cc_sizes", "cc_labels", "cc_count", "spanning_forest_size", "msf_supplier_orders", "msf_weight", "bfs_levels", "shortest_paths", "edge_degrees", "graph_stats", "normalised_matrix", "same_component", "edge_array_file", "stream_components")
-
-for _name in ON_QUANTITY_1:
-    query(f"{_name}_all")(partial(base.QUERIES[_name], whole=True))

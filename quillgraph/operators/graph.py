@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.scalar import MIX_PRIME, mix
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.cut import cut
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Parts that are kept already, as one; none is written again."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def transpose(e: DataFrame) -> DataFrame:
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in e.columns if c not in ("src", "dst")])
 
@@ -44,17 +53,32 @@ def adjacency(e: DataFrame) -> DataFrame:
     return e.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
-def bfs(e: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
-    """(vid, level) of the vertices reachable from `source`."""
-    spark = e.sparkSession
+def edge_map(e: DataFrame, frontier: DataFrame, value, combine, done: list[DataFrame] | None = None) -> DataFrame:
+    """(vid, value) of the vertices to which edges lead from `frontier`, but for those in `done`.
+
+    `value` is a Column over the columns of the edge and of the frontier (which has `vid`), `combine` an aggregate function for the values that meet. Whether
+    the frontier is sent to the edges or both are shuffled is Spark's choice by its size.
+    """
+    ends = frontier.withColumnRenamed("vid", "src")
+    step = ends.join(e, "src").groupBy(F.col("dst").alias("vid")).agg(combine(value).alias("value"))
+    for past in done or []:
+        step = step.join(past.select("vid"), "vid", "left_anti")
+    return step
+
+
+def bfs(e: DataFrame, source: int, max_rounds: int = 10_000, undirected: bool = False) -> DataFrame:
+    """(vid, level) of the vertices reachable from `source`.
+
+    Levels are kept apart and none is written twice. With `undirected` (edges are there in both directions), a step looks back at two levels only.
+    """
     e = cut(e.select("src", "dst").distinct())
-    seen = frontier = cut(spark.createDataFrame([(source, 0)], "vid long, level long"))
+    levels = [cut(e.sparkSession.createDataFrame([(source, 0)], "vid long, level long"))]
     for level in range(1, max_rounds):
-        step = frontier.join(e, F.col("vid") == F.col("src")).select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti")
-        frontier = cut(step.withColumn("level", F.lit(level).cast("long")))
+        step = edge_map(e, levels[-1].select("vid"), F.lit(level).cast("long"), F.min, levels[-2:] if undirected else [union_all(levels)])
+        frontier = cut(step.select("vid", F.col("value").alias("level")))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionAll(frontier))
+            return union_all(levels)
+        levels.append(frontier)
     raise RuntimeError("too many levels")
 
 
@@ -74,9 +98,37 @@ def bellman_ford(e: DataFrame, source: int) -> DataFrame | None:
     return None
 
 
+def bucketed_dijkstra(e: DataFrame, source: int, width: int, max_rounds: int = 1_000_000) -> DataFrame:
+    """(vid, dist) of the vertices reachable from `source`, for integer weights that are not negative.
+
+    Vertices are settled by buckets of distances `width` wide, nearest first: in a bucket, rounds relax the edges of what changed until nothing does.
+    """
+    if e.where("w < 0").limit(1).count():
+        raise ValueError("a weight is negative")
+    e = cut(e.groupBy("src", "dst").agg(F.min("w").alias("w")))
+    kept = cut(e.sparkSession.createDataFrame([(source,)], "vid long").select("vid", F.lit(0).cast(e.schema["w"].dataType).alias("dist")))
+    at, settled = 0, []
+    changed = kept
+    for _ in range(max_rounds):
+        step = edge_map(e, changed, F.col("dist") + F.col("w"), F.min, settled).withColumnRenamed("value", "new")
+        both = cut(kept.join(step, "vid", "full").select("vid", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("moved")))
+        kept, top = both.select("vid", "dist"), (at + 1) * width
+        near, least, n = both.agg(F.count_if(F.col("moved") & (F.col("dist") < top)), F.min(F.when(F.col("dist") >= top, F.col("dist"))), F.count("*")).first()
+        if near:
+            changed = both.where(F.col("moved") & (F.col("dist") < top)).select("vid", "dist")
+            continue
+        settled.append(cut(kept.where(F.col("dist") < top)))
+        if least is None:
+            return union_all(settled)
+        at = int(least) // width
+        kept = cut(kept.where(F.col("dist") >= top))
+        changed = kept.where(F.col("dist") < (at + 1) * width)
+    raise RuntimeError("too many rounds")
+
+
 def pagerank(e: DataFrame, n: int, rounds: int = 10, d: float = 0.85) -> DataFrame:
     """(vid, rank) for vertices 0, ..., n - 1 after so many rounds; vertices without edges out hand nothing on."""
-    m = cut(normalised(e.select("src", "dst")))
+    m = cut(normalised(e.select("src", "dst")))  # few rows a vertex: a round's join sends the ranks to it, or shuffles both
     r = e.sparkSession.range(n).select(F.col("id").alias("vid"), F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
         got = r.join(m, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("x")).alias("got"))
@@ -120,79 +172,94 @@ def triangles(e: DataFrame) -> DataFrame:
     return n.select("triangles", (F.col("triangles") * 2).alias("twice"))
 
 
-def maximal_independent_set(e: DataFrame, vertices: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(vid) of the set that a pass over the vertices in order of their ids chooses: each with no chosen neighbour."""
-    left_e, left_v = cut(symmetrise(e)), cut(vertices.select("vid").distinct())
-    chosen: DataFrame | None = None
+def _order(c: str, hashed: bool, *first):
+    """By `first`, then by the id, or by its hash before."""
+    return F.struct(*first, *([mix(F.col(c))] if hashed else []), F.col(c))
+
+
+def maximal_independent_set(e: DataFrame, vertices: DataFrame, hashed: bool = True, max_rounds: int = 10_000) -> DataFrame:
+    """(vid) of the set that a pass over the vertices chooses: each with no chosen neighbour.
+
+    The pass goes in the order of a hash of the ids, for which rounds grow with the logarithm of the vertices, or, if not `hashed`, of the ids.
+    """
+    u = symmetrise(e)
+    left_e = cut(u.withColumn("before", _order("dst", hashed) < _order("src", hashed)))
+    left_v = cut(vertices.select("vid").distinct())
+    chosen: list[DataFrame] = []
     for _ in range(max_rounds):
         if left_v.isEmpty():
-            return chosen if chosen is not None else vertices.select("vid").limit(0)
-        blocked = left_e.where("dst < src").select(F.col("src").alias("vid")).distinct()
+            return union_all(chosen) if chosen else vertices.select("vid").limit(0)
+        blocked = left_e.where("before").select(F.col("src").alias("vid")).distinct()
         won = cut(left_v.join(blocked, "vid", "left_anti"))
         out = left_e.join(won, F.col("src") == F.col("vid"), "left_semi").select(F.col("dst").alias("vid")).distinct()
         left_v = cut(left_v.join(won, "vid", "left_anti").join(out, "vid", "left_anti"))
         for c in ("src", "dst"):
             left_e = left_e.join(left_v.select(F.col("vid").alias(c)), c, "left_semi")
-        left_e = cut(left_e)
-        chosen = won if chosen is None else chosen.unionAll(won)
+        left_e = cut(left_e.select("src", "dst", "before"))
+        chosen.append(won)
     raise RuntimeError("too many rounds")
 
 
-def maximal_matching(e: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(eid, src, dst) of the matching that a pass over the edges in order of `eid` chooses; self loops are skipped."""
+def maximal_matching(e: DataFrame, hashed: bool = True, max_rounds: int = 10_000) -> DataFrame:
+    """(eid, src, dst) of the matching that a pass over the edges chooses, in the order of a hash of `eid` or, if not `hashed`, of `eid`; self loops are skipped."""
     left = cut(e.select("eid", "src", "dst").where("src <> dst"))
-    out: DataFrame | None = None
+    out: list[DataFrame] = []
     for _ in range(max_rounds):
         if left.isEmpty():
-            return out if out is not None else left
-        best = left.select("eid", F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.min("eid").alias("best"))
+            return union_all(out) if out else left
+        best = left.select("eid", F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.min(_order("eid", hashed))["eid"].alias("best"))
         a, b = (best.select(F.col("v").alias(v), F.col("best").alias(x)) for v, x in (("src", "ba"), ("dst", "bb")))
         won = cut(left.join(a, "src").join(b, "dst").where("eid = ba and eid = bb").select("eid", "src", "dst"))
         used = won.select(F.explode(F.array("src", "dst")).alias("v"))
         left = cut(left.join(used.select(F.col("v").alias("src")), "src", "left_anti").join(used.select(F.col("v").alias("dst")), "dst", "left_anti").select("eid", "src", "dst"))
-        out = won if out is None else out.unionAll(won)
+        out.append(won)
     raise RuntimeError("too many rounds")
 
 
-def colour(e: DataFrame, vertices: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(vid, colour): greedily, vertices in order of degree (largest first), then id, the smallest colour no neighbour has."""
+def colour(e: DataFrame, vertices: DataFrame, hashed: bool = True, max_rounds: int = 10_000) -> DataFrame:
+    """(vid, colour): greedily, vertices in order of degree (largest first), then of a hash of the id (or the id, if not `hashed`), the smallest colour no neighbour has.
+
+    A vertex waits for its neighbours that come before it; the edges to these are joined with the colours found in the last round alone.
+    """
     u = symmetrise(e)
     deg = u.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("d"))
     v = cut(vertices.select("vid").distinct().join(deg, "vid", "left").select("vid", (-F.coalesce("d", F.lit(0))).alias("p")))
     a, b = (v.select(F.col("vid").alias(x), F.col("p").alias(p)) for x, p in (("src", "ps"), ("dst", "pd")))
-    before = cut(u.join(a, "src").join(b, "dst").where("(pd, dst) < (ps, src)").select("src", "dst"))  # dst is coloured first
-    done = cut(v.join(before.select(F.col("src").alias("vid")).distinct(), "vid", "left_anti").select("vid", F.lit(0).cast("long").alias("colour")))
-    left = cut(v.select("vid").join(done, "vid", "left_anti"))
+    before = u.join(a, "src").join(b, "dst").where(_order("dst", hashed, F.col("pd").alias("p")) < _order("src", hashed, F.col("ps").alias("p"))).select("src", "dst")  # dst is coloured first
+    none = F.array().cast("array<long>")
+    waits = cut(v.join(before.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("open")), "vid", "left").select("vid", F.coalesce("open", F.lit(0)).alias("open"), none.alias("used")))
+    before = cut(before)
+    out: list[DataFrame] = []
     for _ in range(max_rounds):
-        if left.isEmpty():
-            return done
-        seen = left.join(before, F.col("vid") == F.col("src")).join(done.select(F.col("vid").alias("dst"), "colour"), "dst", "left")
-        ready = seen.groupBy("vid").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used")).where("open = 0")
+        if waits.isEmpty():
+            return union_all(out) if out else v.select("vid", F.lit(0).cast("long").alias("colour")).limit(0)
         free = F.array_min(F.array_except(F.transform(F.sequence(F.lit(0), F.size("used")), lambda x: x.cast("long")), F.col("used")))
-        new = cut(ready.select("vid", free.alias("colour")))
-        done, left = cut(done.unionAll(new)), cut(left.join(new, "vid", "left_anti"))
+        new = cut(waits.where("open = 0").select("vid", free.alias("colour")))
+        told = before.join(new.withColumnRenamed("vid", "dst"), "dst").groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("n"), F.collect_set("colour").alias("more"))
+        left = waits.where("open > 0").join(told, "vid", "left")
+        waits = cut(left.select("vid", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.when(F.col("more").isNull(), F.col("used")).otherwise(F.array_union("used", "more")).alias("used")))
+        out.append(new)
     raise RuntimeError("too many rounds")
 
 
-def betweenness(e: DataFrame, source: int) -> DataFrame:
-    """(vid, delta): dependencies of `source` on each vertex it reaches, along shortest paths."""
+def betweenness(e: DataFrame, source: int, undirected: bool = False) -> DataFrame:
+    """(vid, delta): dependencies of `source` on each vertex it reaches, along shortest paths. Each level's numbers are written once."""
     e = cut(e.select("src", "dst").distinct())
-    levels = cut(bfs(e, source))
+    levels = cut(bfs(e, source, undirected=undirected))
     dag = cut(e.join(levels.select(F.col("vid").alias("src"), F.col("level").alias("ls")), "src").join(levels.select(F.col("vid").alias("dst"), F.col("level").alias("ld")), "dst").where("ld = ls + 1").select("src", "dst", "ls"))
     depth = levels.agg(F.max("level")).first()[0]
-    sigma = cut(levels.where("level = 0").select("vid", F.lit(1.0).alias("sigma")))
-    step = sigma
+    sigma = [cut(levels.where("level = 0").select("vid", F.lit(1.0).alias("sigma")))]
     for k in range(depth):
-        step = cut(dag.where(F.col("ls") == k).join(step, F.col("src") == F.col("vid")).groupBy(F.col("dst").alias("to")).agg(F.sum("sigma").alias("sigma")).select(F.col("to").alias("vid"), "sigma"))
-        sigma = cut(sigma.unionAll(step))
-    delta = levels.where(F.col("level") == depth).select("vid", F.lit(0.0).alias("delta"))
-    last = delta
-    a, b = (sigma.select(F.col("vid").alias(v), F.col("sigma").alias(s)) for v, s in (("src", "ss"), ("dst", "sd")))
+        step = edge_map(dag.where(F.col("ls") == k), sigma[-1], F.col("sigma"), F.sum)
+        sigma.append(cut(step.select("vid", F.col("value").alias("sigma"))))
+    last = cut(levels.where(F.col("level") == depth).select("vid", F.lit(0.0).alias("delta")))
+    delta = [last]
     for k in range(depth - 1, -1, -1):
+        a, b = (s.select(F.col("vid").alias(v), F.col("sigma").alias(c)) for s, v, c in ((sigma[k], "src", "ss"), (sigma[k + 1], "dst", "sd")))
         part = dag.where(F.col("ls") == k).join(last.select(F.col("vid").alias("dst"), "delta"), "dst").join(a, "src").join(b, "dst").groupBy("src").agg(F.sum(F.col("ss") / F.col("sd") * (1 + F.col("delta"))).alias("delta"))
         last = cut(levels.where(F.col("level") == k).join(part, F.col("vid") == F.col("src"), "left").select("vid", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        delta = cut(delta.unionAll(last))
-    return delta.withColumn("delta", F.when(F.col("vid") == source, 0.0).otherwise(F.col("delta")))
+        delta.append(last)
+    return union_all(delta).withColumn("delta", F.when(F.col("vid") == source, 0.0).otherwise(F.col("delta")))
 
 
 def cycle_count(p: DataFrame) -> DataFrame:
@@ -226,28 +293,31 @@ def set_cover(sets: DataFrame, epsilon: float = 0.1, max_rounds: int = 100_000)
 def low_diameter_decomposition(e: DataFrame, vertices: DataFrame, beta: float = 0.2, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """(vid, centre): vertices start as centres at hashed exponential delays, unless reached before; clusters grow a step a round."""
     e = cut(symmetrise(e))
-    u = (F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    u = (mix(F.col("vid"), seed) + 1) / float(MIX_PRIME + 1)
     shifted = vertices.select("vid").distinct().withColumn("s", -F.log(u) / beta)
     top = shifted.agg(F.max("s").alias("top"))
     v = cut(shifted.join(F.broadcast(top)).select("vid", F.floor(F.col("top") - F.col("s")).alias("start")))
-    done = cut(v.limit(0).select("vid", F.col("vid").alias("centre")))
-    frontier, total = done, v.count()
+    total, found = v.count(), 0
+    done: list[DataFrame] = [cut(v.limit(0).select("vid", F.col("vid").alias("centre")))]
     for k in range(max_rounds):
-        if done.count() == total:
-            return done
-        reached = frontier.join(e, F.col("vid") == F.col("src")).groupBy(F.col("dst").alias("vid")).agg(F.min("centre").alias("centre")).select(F.col("vid"), "centre")
+        if found == total:
+            return union_all(done)
+        reached = edge_map(e, done[-1], F.col("centre"), F.min).select("vid", F.col("value").alias("centre"))
         starts = v.where(F.col("start") == k).select("vid", F.col("vid").alias("centre")).join(reached.select("vid"), "vid", "left_anti")
-        frontier = cut(reached.unionAll(starts).join(done.select("vid"), "vid", "left_anti"))
-        done = cut(done.unionAll(frontier))
+        new = reached.unionAll(starts).join(union_all(done).select("vid"), "vid", "left_anti")
+        done.append(cut(new))
+        found += done[-1].count()
+        if len(done) > 10:  # few parts to read in a round
+            done = [cut(union_all(done[:-1])), done[-1]]
     raise RuntimeError("too many rounds")
 
 
 def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.5, b: float = 0.15, c: float = 0.15, seed: int = 0) -> DataFrame:
-    """(src, dst) of a recursive-matrix graph on 2 ** scale vertices: distinct, without self loops."""
+    """(src, dst) of a recursive-matrix graph on 2 ** scale vertices (scale at most 62): distinct, without self loops."""
     r = spark.range(edges)
     src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
     for k in range(scale):
-        u = F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        u = mix(F.col("id") * 64 + k, seed) / float(MIX_PRIME)
         src = src * 2 + F.when(u >= a + b, 1).otherwise(0)
         dst = dst * 2 + F.when((u >= a) & (u < a + b) | (u >= a + b + c), 1).otherwise(0)
     return r.select(src.alias("src"), dst.alias("dst")).where("src <> dst").distinct()

@@ -107,6 +107,45 @@ def heaviest_edge(forest: DataFrame) -> DataFrame:
     return forest.agg(F.max_by("eid", F.struct("w", -F.col("eid"))).alias("eid"), F.max("w").alias("w"))
 
 
+def chunk_sizes(m: int, k: int, cpu_share: float = 0.4, cpu_most: int = 100_000_000) -> list[int]:
+    """Sizes of k chunks of m edges and of a last one for another kind of worker: m / (k + share) each, and what is left, which is at most `cpu_most`."""
+    each = int(m / (k + cpu_share))
+    last = min(m - k * each, cpu_most)
+    rest = m - last
+    return [rest // k + (1 if i < rest % k else 0) for i in range(k)] + [last]
+
+
+def filter_kruskal(edges: DataFrame, share: float = 0.25, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    """The forest by way of its light edges: the forest of the lightest `share` of the edges first; of the others only those between its components go on."""
+    from quillgraph.operators.components import star_edges
+
+    pivot = edges.agg(F.percentile_approx("w", share, 10_000).alias("p")).first().p
+    if pivot is None:
+        return minimum_spanning_forest(edges, finish_edges)
+    light = cut(minimum_spanning_forest(edges.where(F.col("w") <= pivot), finish_edges))
+    stars = cut(star_edges(light, "u", "v", finish_edges))
+    a, b = (stars.select(F.col("u").alias(f"_{x}"), F.col("v").alias(f"_r{x}")) for x in "uv")
+    heavy = edges.where(F.col("w") > pivot).join(a, F.col("u") == F.col("_u"), "left").join(b, F.col("v") == F.col("_v"), "left")
+    heavy = heavy.where(F.coalesce("_ru", "u") != F.coalesce("_rv", "v")).select("eid", "u", "v", "w")
+    return minimum_spanning_forest(light.select("eid", "u", "v", "w").unionAll(heavy), finish_edges)
+
+
+def hybrid_msf(edges: DataFrame, chunks: int, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    """The forest from chunks of edge ids in order, sized by `chunk_sizes`: each chunk's forest is found by itself, the last one's by filtering; then their forest."""
+    m = edges.agg(F.max("eid")).first()[0]
+    if m is None:
+        return minimum_spanning_forest(edges, finish_edges)
+    parts, at = [], 0
+    for k, n in enumerate(chunk_sizes(m + 1, chunks)):
+        part = edges.where((F.col("eid") >= at) & (F.col("eid") < at + n)).select("eid", "u", "v", "w")
+        parts.append(cut(filter_kruskal(part, finish_edges=finish_edges) if k == chunks else minimum_spanning_forest(part, finish_edges)))
+        at += n
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return minimum_spanning_forest(whole, finish_edges)
+
+
 def chunked_msf(edges: DataFrame, chunks: int, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """The forest by a fold over `chunks` slices of the edge ids, carrying at most V - 1 edges: F <- MSF(F + chunk)."""
     sized = edges.withColumn("_chunk", F.pmod(F.xxhash64("eid"), F.lit(chunks)))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from quillgraph.functions.scalar import MIX_PRIME, mix
 from quillgraph.plans.cut import cut
 
 
@@ -87,10 +88,10 @@ def kmeans(points: DataFrame, k: int, rounds: int = 50, tolerance: float = 1e-6,
         lit = F.array(*map(F.lit, c))
         return F.aggregate(F.zip_with("v", lit, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
 
-    centres = [p.orderBy(F.xxhash64("i"), "i").first().v]
+    centres = [p.orderBy(mix(F.col("i")), "i").first().v]
     for r in range(1, k):
         near = F.least(*(d2(c) for c in centres), F.lit(float("inf")))
-        u = (F.pmod(F.xxhash64("i", F.lit(r)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+        u = (mix(F.col("i"), r) + 1) / float(MIX_PRIME + 1)
         centres.append(p.orderBy(F.when(near > 0, -F.log(u) / near).otherwise(float("inf")), "i").first().v)
     for n in range(1, rounds + 1):
         which = F.array_position(F.array(*(d2(c) for c in centres)), F.array_min(F.array(*(d2(c) for c in centres))))
@@ -106,55 +107,48 @@ def kmeans(points: DataFrame, k: int, rounds: int = 50, tolerance: float = 1e-6,
     return centres, n
 
 
-def _nearest(k: int, qi: np.ndarray, qx: np.ndarray):
-    def run(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in qi]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pi, px = pdf["p"].to_numpy(), np.stack(pdf["pv"].to_numpy())
-            for i in range(len(qi)):
-                d = ((px - qx[i]) ** 2).sum(axis=1)
-                d[pi == qi[i]] = np.inf
-                few = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-                few = np.flatnonzero(d <= d[few].max()) if len(d) > k + 1 else few
-                ds, ps = np.concatenate([kept[i][0], d[few]]), np.concatenate([kept[i][1], pi[few]])
-                o = np.lexsort((ps, ds))[:k]
-                kept[i] = ds[o], ps[o]
-        for i, (d, p) in zip(qi, kept, strict=True):
-            ok = np.isfinite(d)
-            if ok.any():
-                yield pd.DataFrame({"q": int(i), "p": p[ok], "d": d[ok]})
-
-    return run
-
-
-def knn(points: DataFrame, k: int, id_col: str = "id", vector: str = "v", queries: DataFrame | None = None, block: int = 4096) -> DataFrame:
+def transpose(m: DataFrame) -> DataFrame:
+    """(row, col, value) with rows and columns exchanged."""
+    return m.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
+
+def knn(points: DataFrame, k: int, id_col: str = "id", vector: str = "v", queries: DataFrame | None = None, axes: int = 3) -> DataFrame:
     """(id, neighbours): each query's k nearest other points by squared distance, furthest first, ties by id, padded with -1.
 
-    Queries are taken in blocks of `block` rows; a block goes to all partitions of the points, each of which keeps its best k.
+    A query meets the points of its own and the neighbouring cells of a grid on the first `axes` axes. One whose k-th nearest is no further than a cell is wide is done; the others go
+    on with cells twice as wide, until these hold everything. Ids are taken to be unique; of points in one place the k + 1 with the least ids are enough.
     """
-    p = points.select(F.col(id_col).cast("long").alias("p"), F.col(vector).cast("array<double>").alias("pv"))
+    p = points.select(F.col(id_col).cast("long").alias("p"), F.col(vector).cast("array<double>").alias("pv")).where("pv is not null")
     q = (points if queries is None else queries).select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("qv"))
-    near: DataFrame | None = None
-    held: list = []
-
-    def add() -> None:
-        nonlocal near, held
-        qi, qx = np.array([r.q for r in held]), np.array([r.qv for r in held])
-        part = p.mapInPandas(_nearest(k, qi, qx), "q long, p long, d double")
-        near = part if near is None else near.unionAll(part)
-        held = []
-
-    for r in q.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            add()
-    if held:
-        add()
-    if near is None:
-        return q.select(F.col("q").alias("id"), F.array_repeat(F.lit(-1).cast("long"), k).alias("neighbours"))
-    top = near.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "p"))), 1, k).alias("t"))
-    ids = F.reverse(F.transform("t", lambda x: x["p"]))
-    padded = F.concat(F.array_repeat(F.lit(-1).cast("long"), k - F.size("t")), ids)
-    return q.select("q").join(top, "q", "left").select(F.col("q").alias("id"), F.coalesce(padded, F.array_repeat(F.lit(-1).cast("long"), k)).alias("neighbours"))
+    same = Window.partitionBy("pv").orderBy("p")
+    p = cut(p.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1).drop("_r"))
+    left = cut(q.where("qv is not null"))
+    none = F.array_repeat(F.lit(-1).cast("long"), k)
+    n, d = p.agg(F.count("*"), F.max(F.size("pv"))).first()
+    found: list[DataFrame] = []
+    if n:
+        dims = range(min(d, axes))
+        both = p.select(F.col("pv").alias("x")).unionAll(left.select("qv"))
+        ends = both.agg(*(f(F.col("x")[i]) for f in (F.min, F.max) for i in dims)).first()
+        low, extent = ends[: len(dims)], max(b - a for a, b in zip(ends[: len(dims)], ends[len(dims) :], strict=True)) or 1.0
+        side = extent / max(1.0, (n / (k + 1)) ** (1 / len(dims)))
+        while True:
+            at = lambda v: [F.floor((F.col(v)[i] - low[i]) / side).cast("long").alias(f"c{i}") for i in dims]  # noqa: B023, E731
+            near = left.select("q", "qv", *at("qv"))
+            for i in dims:
+                near = near.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + j for j in (-1, 0, 1)))))
+            gap = F.aggregate(F.zip_with("qv", "pv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+            met = near.join(p.select("p", "pv", *at("pv")), [f"c{i}" for i in dims]).where("p <> q").select("q", "p", gap.alias("d"))
+            best = met.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("_r") <= k)
+            best = best.groupBy("q").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.transform(F.sort_array(F.collect_list(F.struct("d", "p")), asc=False), lambda x: x["p"]).alias("ids"))
+            tried = cut(left.join(best, "q", "left"))
+            sure = F.lit(side > extent) | F.coalesce((F.col("n") == k) & (F.col("far") <= side * side), F.lit(False))
+            found.append(tried.where(sure).select("q", F.concat(F.array_repeat(F.lit(-1).cast("long"), (k - F.coalesce("n", F.lit(0))).cast("int")), F.coalesce("ids", F.array().cast("array<long>"))).alias("ids")))
+            left = tried.where(~sure).select("q", "qv")
+            if side > extent or left.isEmpty():
+                break
+            side *= 2
+    top = found[0] if found else q.select("q", none.alias("ids")).limit(0)
+    for x in found[1:]:
+        top = top.unionAll(x)
+    return q.select("q").join(top, "q", "left").select(F.col("q").alias("id"), F.coalesce("ids", none).alias("neighbours"))

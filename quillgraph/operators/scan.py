@@ -17,6 +17,7 @@ BLOCK = 65_536
 #: Aggregate function and value on nothing.
 MONOIDS: dict[str, tuple[Callable[[Column], Column], object]] = {
     "sum": (F.sum, 0),
+    "product": (F.product, 1.0),
     "max": (F.max, None),
     "min": (F.min, None),
     "and": (F.bool_and, True),
@@ -45,6 +46,8 @@ def scan(s: DataFrame, monoid: str = "sum", inclusive: bool = False, by: list[st
     joined = b.withColumn("_own", own).join(totals, on, "left")
     if monoid == "sum":
         both = F.coalesce("_before", F.lit(0)) + F.coalesce("_own", F.lit(0))
+    elif monoid == "product":
+        both = F.coalesce("_before", F.lit(1.0)) * F.coalesce("_own", F.lit(1.0))
     elif monoid in ("max", "min"):
         both = {"max": F.greatest, "min": F.least}[monoid](F.col("_before"), F.col("_own"))
     elif monoid in ("and", "or"):
@@ -75,6 +78,42 @@ def ordered_reduce(s: DataFrame, combine: Callable, identity, kind: str, block:
     return parts.groupBy().applyInPandas(reduce_block, f"idx long, value {kind}").select("value")
 
 
+def custom_scan(s: DataFrame, combine: Callable, identity, kind: str, inclusive: bool = False, block: int = BLOCK) -> DataFrame:
+    """(idx, value, scan) with a custom, associative, perhaps non-commutative monoid over all earlier elements (and the element itself if inclusive).
+
+    Blocks are reduced where they lie; the block results, one row a block, are scanned in one task; each block is then scanned from there.
+    """
+    blocked = s.select("idx", "value", F.floor(F.col("idx") / block).alias("_b"))
+
+    def fold(values, out):
+        for v in values:
+            out = combine(out, v)
+        return out
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_b": [pdf["_b"].iloc[0]], "_t": [fold(pdf.sort_values("idx")["value"], identity)]})
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out, found = pdf.sort_values("_b"), identity, []
+        for t in pdf["_t"]:
+            found.append(out)
+            out = combine(out, t)
+        return pd.DataFrame({"_c": pdf["_b"].to_numpy(), "_before": found})
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, found = pdf.sort_values("idx"), []
+        out = pdf["_before"].iloc[0]
+        for v in pdf["value"]:
+            new = combine(out, v)
+            found.append(new if inclusive else out)
+            out = new
+        return pd.DataFrame({"idx": pdf["idx"].to_numpy(), "value": pdf["value"].to_numpy(), "scan": found})
+
+    sums = blocked.groupBy("_b").applyInPandas(totals, f"_b long, _t {kind}").groupBy().applyInPandas(before, f"_c long, _before {kind}")
+    joined = blocked.join(sums, F.col("_b") == F.col("_c")).select("idx", "value", "_b", "_before")
+    return joined.groupBy("_b").applyInPandas(each, f"idx long, value {s.schema['value'].dataType.simpleString()}, scan {kind}")
+
+
 def rank(s: DataFrame) -> DataFrame:
     """(idx, rank): the position each element has after a stable sort, from 0; equal elements are ranked in order."""
     from quillgraph.operators.seq import with_index

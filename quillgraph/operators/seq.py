@@ -230,3 +230,16 @@ def scatter(s: DataFrame, to: DataFrame, how: str = "max_by") -> DataFrame:
     z = s.join(to.select("idx", F.col("value").alias("_to")), "idx")
     agg = F.max_by("value", "idx") if how == "max_by" else getattr(F, how)("value")
     return z.groupBy(F.col("_to").alias("idx")).agg(agg.alias("value"))
+
+
+def split_two(s: DataFrame, flag: str | Column) -> DataFrame:
+    """The elements without `flag` (null counts as without), then those with it, each in order."""
+    return with_index(s.withColumn("_flag", F.coalesce(_col(flag), F.lit(False))), ["_flag", "idx"], "_new").select(F.col("_new").alias("idx"), "value")
+
+
+def resize(s: DataFrame, n: int, value=None) -> DataFrame:
+    """The first n elements, followed by `value` (null if not given) as often as it takes."""
+    domain = s.sparkSession.range(n).select(F.col("id").alias("idx"))
+    known = s.select("idx", "value", F.lit(True).alias("_k"))
+    fill = F.lit(value).cast(s.schema["value"].dataType)
+    return domain.join(known, "idx", "left").select("idx", F.when(F.col("_k"), F.col("value")).otherwise(fill).alias("value"))

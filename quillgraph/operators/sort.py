@@ -61,3 +61,11 @@ def random_shuffle(s: DataFrame, seed: int = 0) -> DataFrame:
 
 def random_permutation(spark, n: int, seed: int = 0) -> DataFrame:
     return random_shuffle(spark.range(n).select(F.col("id").alias("idx"), F.col("id").alias("value")), seed)
+
+
+def kth_smallest_approximate(s: DataFrame, k: int, accuracy: int = 1000) -> DataFrame:
+    """One row `value`: an element whose position in the sorted sequence is within 1 / `accuracy` of all rows of k; no row if there is none."""
+    n = s.count()
+    if not 0 <= k < n:
+        return s.select("value").limit(0)
+    return s.agg(F.percentile_approx("value", (k + 0.5) / n, accuracy).alias("value"))

@@ -143,8 +143,8 @@ def test_le_lists(spark):
 def test_ray_cast(spark):
     tri = spark.createDataFrame([(5, [0.0, 0.0, 2.0], [4.0, 0.0, 2.0], [0.0, 4.0, 2.0]), (3, [0.0, 0.0, 1.0], [1.0, 0.0, 1.0], [0.0, 1.0, 1.0]), (9, [0.0, 0.0, 1.0], [1.0, 0.0, 1.0], [0.0, 1.0, 1.0]), (7, None, [0.0] * 3, [0.0] * 3)], "tid long, a array<double>, b array<double>, c array<double>")
     up, rays = [0.0, 0.0, 1.0], [(0, [0.2, 0.2, 0.0]), (1, [1.0, 1.0, 0.0]), (2, [3.0, 3.0, 0.0]), (3, [0.2, 0.2, 1.5]), (4, [0.2, 0.2, 5.0])]
-    for block in (2, 100):
-        got = geometry.ray_cast(spark.createDataFrame([(i, o, up) for i, o in rays] + [(6, None, up)], "rid long, o array<double>, d array<double>"), tri.repartition(2), block)
+    for levels in (0, 1, 6):
+        got = geometry.ray_cast(spark.createDataFrame([(i, o, up) for i, o in rays] + [(6, None, up)], "rid long, o array<double>, d array<double>"), tri.repartition(2), levels)
         assert {r.rid: r.tid for r in got.collect()} == {0: 3, 1: 5, 2: -1, 3: 5, 4: -1, 6: -1}
 
 
