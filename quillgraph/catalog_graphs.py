@@ -19,12 +19,12 @@ def _bipartite_sql(key: str) -> str:
 
 SO_SQL, SP_SQL = _bipartite_sql("l_orderkey"), _bipartite_sql("l_partkey")
 CO_SQL = """g as (select 2 * o_custkey as u, 2 * o_orderkey + 1 as v, cast(round(o_totalprice * 100) as bigint) as w from orders
- union all select * from (select 2 * lag(o_orderkey) over (partition by o_custkey order by o_orderkey) + 1 as u, 2 * o_orderkey + 1 as v, cast(round(o_totalprice * 50) as bigint) as w from orders) where u is not null),
+ union all select * from (select 2 * lag(o_orderkey) over (partition by o_custkey order by o_orderkey) + 1 as u, 2 * o_orderkey + 1 as v, (cast(round(o_totalprice * 100) as bigint) + 1) // 2 as w from orders) where u is not null),
 e as (select row_number() over (order by u, v) - 1 as eid, u, v, w from g)"""
 
 
-def _cents(c: str, times: int = 100):
-    return F.round(F.col(c) * times).cast("long")
+def _cents(c: str):
+    return F.round(F.col(c) * 100).cast("long")
 
 
 def bipartite(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -50,7 +50,7 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = with_index(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderkey"])
     order = 2 * F.col("o_orderkey") + 1
     past = o.select((F.col("idx") + 1).alias("idx"), F.col("o_custkey").alias("_c"), order.alias("u"))
-    chain = o.join(past, "idx").where("o_custkey = _c").select("u", order.alias("v"), _cents("o_totalprice", 50).alias("w"))
+    chain = o.join(past, "idx").where("o_custkey = _c").select("u", order.alias("v"), F.floor((_cents("o_totalprice") + 1) / 2).cast("long").alias("w"))
     return o.select((2 * F.col("o_custkey")).alias("u"), order.alias("v"), _cents("o_totalprice").alias("w")).unionAll(chain)
 
 

@@ -29,7 +29,7 @@ def tables(spark, tmp_path_factory):
     for o, c, price in sorted(orders):
         co[2 * c, 2 * o + 1] = round(price * 100)
         if c in last:
-            co[2 * last[c] + 1, 2 * o + 1] = round(price * 50)
+            co[2 * last[c] + 1, 2 * o + 1] = (round(price * 100) + 1) // 2
         last[c] = o
     return folder, so, co
 
