@@ -4,8 +4,9 @@ A list holds canonical (host, path) rules. The keys under which a url could be l
 prefixes of a length that some rule has, are probed in a blocked Bloom filter of the listed keys; those that pass go to an exact hash
 join with the list, which removes false positives; the longest rule wins.
 
-Only distinct (host, head of the path) pairs are probed, so a hot host costs what its distinct heads cost. Filter and list are
-broadcast only where their counted rows bound their size (`BROADCAST_BYTES`), and are joined by key otherwise.
+Only distinct (host, head of the path) pairs are probed, so a hot host costs what its distinct heads cost. Filter, list and the rules found for
+pairs are broadcast only where their counted bytes allow (`BROADCAST_BYTES`), and are joined by key otherwise; then the rules of hot
+pairs, fewer than `HOT_SHARE`, are broadcast to their pages all the same, so that no pair's pages meet in one task.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.tables import table
+from quillgraph.plans.cut import cut
 
 BROADCAST_BYTES = 8_000_000
+#: A pair is hot if more than one in so many pages have it.
+HOT_SHARE = 1000
 #: A block has 8 words of 64 bits, and a key sets a bit in each.
 WORDS, BITS_A_KEY = 8, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,7 +84,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     bloom = _maybe_broadcast(bloom_filter(listed, n_blocks), n_blocks * (8 * WORDS + 16))
 
     head = F.substring("path", 1, longest) if longest else F.lit("")
-    sites = src.where("host <> ''").select("host", head.alias("head")).distinct()
+    sites = cut(src.where("host <> ''").groupBy("host", head.alias("head")).agg(F.count("*").alias("pages")))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), i, F.size("labels")), "."))
     keys = sites.withColumn("labels", labels).select("host", "head", F.explode(suffixes).alias("kh"))
@@ -92,12 +96,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     exact = possible.join(_maybe_broadcast(listed, most_chars + 64 * n), (F.col("kh") == F.col("rh")) & (F.col("kp") == F.col("rp")))
     order = F.struct(F.length("rh") + F.length("rp"), F.length("rh"))
     best = exact.groupBy("host", "head").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict")), order).alias("best"))
-    best = best.select(F.col("host").alias("bh"), F.col("head").alias("bp"), "best.*")
-    out = src.join(best, (F.col("host") == F.col("bh")) & (head == F.col("bp")), "left")
+    best = cut(best.select(F.col("host").alias("bh"), F.col("head").alias("bp"), "best.*"))
+    here = (F.col("host") == F.col("bh")) & (head == F.col("bp"))
+    if (best.agg(F.sum(64 + sum(F.octet_length(c) for c in best.columns))).first()[0] or 0) <= BROADCAST_BYTES:
+        out = src.join(F.broadcast(best), here, "left")
+    else:
+        bar = sites.agg(F.sum("pages")).first()[0] // HOT_SHARE
+        hot = cut(sites.where(F.col("pages") > bar).select(F.col("host").alias("hh"), F.col("head").alias("hp")))
+        mine = (F.col("bh") == F.col("hh")) & (F.col("bp") == F.col("hp"))
+        there = (F.col("host") == F.col("hh")) & (head == F.col("hp"))
+        rules_of_hot = hot.join(best, mine, "left").select("hh", "hp", "rule", "verdict")
+        few = src.join(F.broadcast(hot), there, "left_anti").join(best, here, "left")
+        out = src.join(F.broadcast(rules_of_hot), there).select("_id", "host", "path", "rule", "verdict").unionAll(few.select("_id", "host", "path", "rule", "verdict"))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict for every page's url. Null urls have empty hosts and paths and no rule."""
     rows = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r, strict=True))) for r in RULES))
     rules = spark.range(1).select(F.inline(rows))
     return judge_urls(table(spark, sf_dir, "pages"), rules)

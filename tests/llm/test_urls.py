@@ -44,6 +44,14 @@ def test_random_lists(spark, monkeypatch):
     check(spark, urls, rules)
 
 
+def test_hot_pairs_without_broadcast(spark, monkeypatch):
+    """Half of all pages have one url; the rules found don't fit a broadcast."""
+    monkeypatch.setattr(U, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(U, "HOT_SHARE", 10)
+    urls = ["http://www.example.com/en/x"] * 40 + ["http://nowhere.org/"] * 30 + [f"http://a{i}.net/fr/{i}" for i in range(30)] + [None, ""]
+    check(spark, urls, list(U.RULES))
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).selectExpr("concat('h', id) as rh", "concat('/', id) as rp")
     n = 5000 * U.BITS_A_KEY // 512 + 1
