@@ -174,16 +174,29 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """(id, size, source_size, target, taken, shards) for each row of `docs`.
 
     Size counts words (null and empty texts: 0). Sources in order of code points, null last, take the weights in turn and
-    share all words; a share stops at `cap` times its source's words, and the excess is shared anew by weight. `taken` is
-    size times the row's draws, at most `cap` of them; `shards` lists the shards that take the row, in order. Repeated rows are rows of their own and share a fate; where ids are null
+    share all words; a share stops at `cap` times its source's words, and the excess is shared anew by weight. The mixture is drawn,
+    dealt to shards and shuffled, by the rows' numbers without their texts; `taken` adds up what was drawn of a row, at most `cap` times its size; `shards` lists the shards that take the row, in order. Repeated rows are rows of their own and share a fate; where ids are null
     the text takes the id's place. Each source's taken words are within half a document of its target (with repeated ids, half the rows
     that share one). An empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = cut(keyed(d, "doc_id", "source", "text", blocks, seed).select("doc_id", "_size", "_sk", "_k", "_block"))
-    taken = _join_plan(rows, plan_mix(rows, weights, cap, levels, seed))
-    shards = F.concat_ws(",", F.array_sort("_shards").cast("array<string>"))
-    return taken.select(F.col("doc_id").alias(id_col), F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"), shards.alias("shards"))
+    rows = cut(keyed(d, "doc_id", "source", "text", blocks, seed).select("doc_id", "_size", "_sk", "_k", "_block", F.monotonically_increasing_id().alias("_n")))
+    planned = cut(_join_plan(rows, plan_mix(rows, weights, cap, levels, seed)))
+    drawn = _dealt(planned.select("_n", "_size", "_k", F.posexplode("_shards").alias("_epoch", "_shard")), rows, levels, seed, TASK_WORDS)
+    drawn = cut(drawn.select("_n", "_shard", "_size"))  # the mixture, by rows' numbers, in its order
+    took = drawn.groupBy(F.col("_n").alias("_d")).agg(F.sum("_size").alias("taken"), F.array_sort(F.collect_list("_shard")).alias("shards"))  # at most `cap` draws a row
+    shards = F.coalesce(F.concat_ws(",", F.col("shards").cast("array<string>")), F.lit(""))
+    out = planned.join(took, F.col("_n") == F.col("_d"), "left")
+    return out.select(F.col("doc_id").alias(id_col), F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), shards.alias("shards"))
+
+
+def _dealt(out: DataFrame, sized: DataFrame, levels: int, seed: str, task_words: int) -> DataFrame:
+    """Draws (..., _k, _epoch, _shard), each shard in partitions of its own, about `task_words` words in each, in its random order."""
+    local = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_shard"), F.lit(":"), F.col("_k"), F.lit(":"), F.col("_epoch")).cast("binary"))
+    words = sized.agg(F.sum("_size")).first()[0] or 0
+    parts = 1 + words // (task_words << levels)
+    part = F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * parts / (1 << 32))
+    return out.withColumn("_o", local).repartitionById(parts << levels, (F.col("_shard") * parts + part).cast("int")).sortWithinPartitions("_shard", "_o")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, levels: int = LEVELS, seed: str = SEED, shard_col: str | None = None, task_words: int = TASK_WORDS) -> DataFrame:
@@ -191,7 +204,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     A shard is one partition, or as many consecutive ones as keep it at about `task_words` words in each.
 
-    Columns are those of `docs`, and `shard_col` if given. A row without words is drawn with its block like any other.
+    Columns are those of `docs`, whatever their names, and `shard_col` if given. A row without words is drawn with its block like any other; null ids, texts
+    and sources and repeated rows are as in `mix_report`. An empty table gives an empty result.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
@@ -199,16 +213,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sized = cut(rows.select("_size", "_sk", "_k", "_block"))
     taken = _join_plan(rows, plan_mix(sized, weights, cap, levels, seed))
     out = taken.select(*names, "_k", F.posexplode("_shards").alias("_epoch", "_shard"))
-    local = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_shard"), F.lit(":"), F.col("_k"), F.lit(":"), F.col("_epoch")).cast("binary"))
-    words = sized.agg(F.sum("_size")).first()[0] or 0
-    parts = 1 + words // (task_words << levels)
-    part = F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * parts / (1 << 32))
-    out = out.withColumn("_o", local).repartitionById(parts << levels, (F.col("_shard") * parts + part).cast("int")).sortWithinPartitions("_shard", "_o")
+    out = _dealt(out, sized, levels, seed, task_words)
     out = out.select(*names, "_shard").toDF(*docs.columns, shard_col or "_shard")
     return out if shard_col else out.drop("_shard")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of every document. Null texts have size 0, a null source is a source of its own, the last."""
     return mix_report(table(spark, sf_dir, "documents"))
 
 
