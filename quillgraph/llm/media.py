@@ -2,7 +2,7 @@
 with difference hashes.
 
 Images are a binary column of a table, stored as Parquet in the shared folder and read back from there by row groups; one image at
-a time is decoded in a task.
+a time is decoded in a task. Tiles are written there, too, each an NPY file in a binary column, and what is said of them is read from there.
 """
 
 from __future__ import annotations
@@ -136,8 +136,13 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\xff" * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw))
 
 
+def encode_mixed(samples: np.ndarray) -> bytes:
+    """BMP for payloads whose CRC-32 is divisible by 4, Netpbm for the others: the same form for equal payloads."""
+    return (encode_pgm if zlib.crc32(samples) % 4 else encode_bmp)(samples)
+
+
 def _to_media(form: str):
-    encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
+    encode = {"pgm": encode_pgm, "bmp": encode_bmp, "mixed": encode_mixed}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,30 +178,38 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 image = decode(raw)
                 payload = np.ascontiguousarray(image).tobytes()
                 tile = npy_tile(image)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{difference_hash(image)}-{zlib.crc32(tile):08x}", tile))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(image), tile))
             columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), FEATURES.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1000) for c in rest), *columns], names=[*rest, *FEATURES])
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """The columns of `media` but the binary column `media` itself, and digests, a feature and an NPY tile of each image, all from its stored
-    bytes. The feature is the difference hash and the tile's CRC-32. A null image has null features; one that can't be decoded raises ValueError."""
+    bytes. The feature is the difference hash. A null image has null features; one that can't be decoded raises ValueError."""
     base = media.drop("media")
     extra = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), extra])
     return media.mapInArrow(_features, schema)
 
 
-def text_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", form: str = "pgm") -> DataFrame:
+def stored_tiles(media: DataFrame, folder: str) -> DataFrame:
+    """`media_features`, written to `folder` with the tiles and read from there. The feature has the CRC-32 of the tile's stored file behind the difference hash."""
+    media_features(media).write.option("compression", "zstd").parquet(folder)
+    kept = media.sparkSession.read.parquet(folder)
+    return kept.withColumn("feature", F.concat_ws("-", "feature", F.lower(F.lpad(F.hex(F.crc32("tile")), 8, "0"))))
+
+
+def text_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", form: str = "mixed") -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile) for every row of `docs`.
 
     Texts of any length, null ones as empty, are stored whole; equal texts give equal values. Null and repeated ids are carried along. An empty table gives an
-    empty result.
+    empty result. `form` is pgm, bmp or mixed.
     """
-    return media_features(store_texts(docs, folder, id_col, text_col, form)).withColumnRenamed("_id", id_col)
+    return stored_tiles(store_texts(docs, f"{folder}/media", id_col, text_col, form), f"{folder}/tiles").withColumnRenamed("_id", id_col)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as an image, stored and read back, and what its stored tile gives. A null text is an empty one."""
     return text_media(table(spark, sf_dir, "documents"), new_folder(spark, "media")).drop("tile")
 
 

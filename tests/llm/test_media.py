@@ -49,13 +49,15 @@ def test_other_forms():
             M.decode(bad)
 
 
-def check(rows, got, form_size):
+def check(rows, got, form):
     want = []
     for d, t in rows:
         raw = (t or "").encode()
         n = max(576, -(-len(raw) // 576) * 576)
         p = raw + b"\xff" * (n - len(raw))
         media = f"P5\n24 {n // 24}\n255\n".encode() + p
+        if form == "bmp" or form == "mixed" and zlib.crc32(p) % 4 == 0:
+            media = M.encode_bmp(np.frombuffer(p, np.uint8).reshape(-1, 24))
         want.append((d, len(raw), n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest()))
     assert sorted((tuple(r)[:7] for r in got), key=str) == sorted(want, key=str)
 
@@ -64,10 +66,12 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     got = M.op1_media_columns(spark, sf)
     assert got.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    check(rows, got.collect(), None)
+    got = got.collect()
+    check(rows, got, "mixed")
+    assert len({len(r.feature) for r in got}) == 1 and 0.1 < sum((r.media_bytes - r.payload_bytes) > 1000 for r in got) / len(got) < 0.5
 
 
-@pytest.mark.parametrize("form", ["pgm", "bmp"])
+@pytest.mark.parametrize("form", ["pgm", "bmp", "mixed"])
 def test_edges(spark, tmp_path, form):
     rows = [(None, None), (1, ""), (1, ""), (2, "é" * 288), (3, "a" * 577), (4, "long " * 200_000), (None, "é" * 288)]
     df = spark.createDataFrame([(*r, b"x", 1) for r in rows], "doc_id long, text string, media binary, n_bytes int")
@@ -77,7 +81,11 @@ def test_edges(spark, tmp_path, form):
     for r in got:
         by.setdefault((r.n_bytes, r.payload_sha256), set()).add((r.feature, r.media_sha256, r.tail_crc32))
     assert all(len(v) == 1 for v in by.values())
-    if form == "pgm":
-        check(rows, got, None)
+    check(rows, got, form)
+    for r in got:
+        tile = np.load(io.BytesIO(r.tile))  # as a reader of NPY files sees what was stored
+        assert tile.shape == (16, 16) and r.feature.endswith(f"-{zlib.crc32(bytes(r.tile)):08x}")
+    stored = spark.read.parquet(f"{tmp_path}/m/tiles")
+    assert sorted(bytes(x.tile) for x in stored.collect()) == sorted(bytes(r.tile) for r in got)
     assert M.text_media(df.limit(0), f"{tmp_path}/none").count() == 0
     assert M.media_features(spark.createDataFrame([(1, None)], "k int, media binary")).collect()[0].feature is None
