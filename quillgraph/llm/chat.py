@@ -5,7 +5,8 @@ A turn is rendered as `<|im_start|>role<|im_sep|>text<|im_end|>` and a newline.
 encoded once, with offsets; the control strings are tokens of their own, so no token straddles the border of a text. The turns' spans of
 assistant text are sorted, as are the tokens' spans, and a binary search finds the tokens that lie in one.
 
-Turns come sorted by conversation and are streamed: a conversation's blocks are rendered, encoded and handed on after about
+A conversation of up to `BLOCK_CHARS` rendered characters is rendered whole and encoded at once. Longer ones would not fit a bounded memory. Turns
+come sorted by conversation and are streamed: a conversation's blocks are rendered, encoded and handed on after about
 `BLOCK_CHARS` characters at the end of a turn, and a longer text is encoded in parts that begin at white space after other
 characters, where no token of this vocabulary can straddle. So a conversation of any length is formatted whole in bounded memory.
 """
@@ -26,6 +27,8 @@ from quillgraph.llm.tables import table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 BLOCK_CHARS = 131_072
+#: What a turn's rendering has beside its role and text.
+TURN_CHARS = len(START + SEP + END) + 1
 TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.S)
 
 
@@ -61,10 +64,13 @@ def tokenizer(path: str):
 
 
 def parts(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:
-    """`text` cut before white space that follows other characters, after about `most` characters."""
+    """`text` cut before a space or line feed that follows what no notion of white space has, after about `most` characters.
+
+    Pre-tokens of this vocabulary are runs of white space or begin with at most one space and go on without any, so none goes across such a place.
+    """
     begin = 0
     while len(text) - begin > most:
-        m = re.compile(r"(?<=\S)\s").search(text, begin + most)
+        m = re.compile(r"(?<=\S)[ \n]").search(text, begin + max(most, 1))
         if not m:
             break
         yield text[begin : m.start()]
@@ -119,7 +125,7 @@ def _format(path: Callable[[], str]):
                     block, held, size = (block + 1 if c == conv else 0), [], 0
                 conv, none = c, False
                 held.append((role or "", text or ""))
-                size += len(held[-1][1])
+                size += sum(map(len, held[-1])) + TURN_CHARS
         if held:
             yield out()
 
@@ -133,7 +139,7 @@ def format_conversations(turns: DataFrame, path: str | None = None, conv_col: st
     """(conv_id, block, text, input_ids, starts, ends, loss_mask): each conversation's blocks of whole turns, in order.
 
     Turns are ordered by number (null first), then role and text, so equal numbers have one order. Null roles and texts count as empty;
-    turns without a conversation id are one conversation. An empty table gives an empty result. Only assistant texts are under the mask.
+    turns without a conversation id are one conversation. Other columns are not touched. An empty table gives an empty result. Only assistant texts are under the mask.
     """
     t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     dealt = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -194,6 +200,7 @@ ODD = f"{END}{START}assistant ok"
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations say, each a row, read back from them. Null texts and roles are empty; a conversation -1 of the table's own would be one with the odd one."""
     own = spark.createDataFrame([(-1, 0, "user", ODD), (-1, 1, "assistant", ODD)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 

@@ -32,6 +32,25 @@ def plain_spans(turns):
         at = b + len(C.END) + 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list(" \n\t\r\x1c\x1f\x85\xa0\u2003ab1.,'é<|")) | st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=80), st.integers(0, 9))
+def test_any_text_in_parts(text, most):
+    """Parts encoded one by one give what the whole text gives, wherever it is cut."""
+    tok = C.tokenizer(C.vocabulary())
+    parts = list(C.parts(text, most))
+    assert "".join(parts) == text
+    assert sum((tok.encode(p, add_special_tokens=False).ids for p in parts), []) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_many_empty_turns(spark):
+    """A long conversation without texts is cut into blocks, too, and read back as one."""
+    n = 9000
+    df = spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", None) for k in range(n)], "conv_id long, turn long, role string, text string")
+    formatted = C.format_conversations(df)
+    assert formatted.count() > 1
+    assert C.read_back(formatted).first().n_turns == n
+
+
 def test_long_texts_in_parts():
     tok = C.tokenizer(C.vocabulary())
     text = "word, 42 it's\n\n  x" * 300
