@@ -5,6 +5,9 @@ epsilon grid order). The sorted sequence is cut into blocks with bounding boxes;
 than epsilon are skipped, and so are, within a pair, intervals of the sequences, which are halved until they are short. What is left is
 compared: in single precision with a margin first, then exactly, by cosine in double precision.
 
+Boxes have an axis more, the length of what lies off the leading axes: it differs by no more than the vectors do. A block is sent as single-precision numbers
+where these hold its components exactly, as they do for vectors stored that way.
+
 cos >= c means that unit vectors are at most epsilon = sqrt(2 - 2 c) apart. Exact copies are one vector with a count. A pair of blocks
 gives a count for each vector and links that connect what all its pairs connect, at most one a vector, so large groups of near
 copies never become all their pairs.
@@ -27,7 +30,7 @@ from quillgraph.plans.cut import cut
 
 THRESHOLD = 0.9
 #: Vectors in a block; in an interval that is compared; leading axes of the order, and of bounding boxes.
-BLOCK, LEAF, ORDER_AXES, BOX_AXES = 4096, 512, 8, 32
+BLOCK, LEAF, ORDER_AXES, BOX_AXES = 8192, 256, 8, 32
 MARGIN = 1e-4
 
 
@@ -79,6 +82,25 @@ def _ordered(d: int, mean: np.ndarray, axes: np.ndarray, eps: float):
     return run
 
 
+def boxed(u: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates of unit vectors on the leading axes, and the length of the rest."""
+    c = u - mean
+    p = c @ axes[:, : min(len(axes), BOX_AXES)]
+    rest = np.sqrt(np.maximum((c * c).sum(axis=1) - (p * p).sum(axis=1), 0))
+    return np.column_stack([p, rest])
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Little-endian components, in single precision if that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return (short if (short == v).all() else v.astype("<f8")).tobytes()
+
+
+def unpacked(raw: bytes, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * n * d else "<f8").astype(np.float64).reshape(n, d)
+
+
 def _blocks(d: int, mean: np.ndarray, axes: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, held = TaskContext.get().partitionId() << 32, []
@@ -86,8 +108,8 @@ def _blocks(d: int, mean: np.ndarray, axes: np.ndarray, size: int):
         def out(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
             v = _matrix(rows["e"].chunk(0), d)
-            p = (unit(v) - mean) @ axes[:, : min(d, BOX_AXES)]
-            values = {"block": [k], "uids": [rows["uid"].to_numpy().astype("<i8").tobytes()], "copies": [rows["n"].to_numpy().astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()], "lo": [p.min(axis=0).tolist()], "hi": [p.max(axis=0).tolist()]}
+            p = boxed(unit(v), mean, axes)
+            values = {"block": [k], "uids": [rows["uid"].to_numpy().astype("<i8").tobytes()], "copies": [rows["n"].to_numpy().astype("<i8").tobytes()], "vectors": [packed(v)], "lo": [p.min(axis=0).tolist()], "hi": [p.max(axis=0).tolist()]}
             return pa.RecordBatch.from_pydict(values, schema=BLOCK_SCHEMA)
 
         for batch in batches:
@@ -138,10 +160,9 @@ class Pair:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float, mean: np.ndarray, axes: np.ndarray, same: bool) -> None:
         self.a, self.b, self.na, self.nb, self.threshold, self.same = a, b, na, nb, threshold, same
-        self.eps2 = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
-        lead = axes[:, : min(len(axes), BOX_AXES)]
+        self.eps2 = (2 - 2 * threshold) * (1 + 1e-9) + 1e-7  # the length of the rest is a difference of squares, exact to about 1e-8
         self.ua, self.ub = unit(a), unit(b)
-        self.pa, self.pb = (self.ua - mean) @ lead, (self.ub - mean) @ lead
+        self.pa, self.pb = boxed(self.ua, mean, axes), boxed(self.ub, mean, axes)
         self.sa, self.sb = self.ua.astype(np.float32), self.ub.astype(np.float32)
         self.count_a, self.count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -201,7 +222,8 @@ def _compare(d: int, threshold: float, mean: np.ndarray, axes: np.ndarray):
         for batch in batches:
             for k in range(batch.num_rows):
                 x = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                (ua, na, a), (ub, nb, b) = ((np.frombuffer(x[f"uids_{s}"], "<i8"), np.frombuffer(x[f"copies_{s}"], "<i8"), np.frombuffer(x[f"vectors_{s}"], "<f8").reshape(-1, d)) for s in "ij")
+                (ua, na), (ub, nb) = ((np.frombuffer(x[f"uids_{s}"], "<i8"), np.frombuffer(x[f"copies_{s}"], "<i8")) for s in "ij")
+                a, b = unpacked(x["vectors_i"], len(ua), d), unpacked(x["vectors_j"], len(ub), d)
                 same = x["i"] == x["j"]
                 pair = Pair(a, b, na, nb, threshold, mean, axes, same)
                 uids = ua if same else np.concatenate([ua, ub])
@@ -221,7 +243,7 @@ def cosine_links(each: DataFrame, d: int, threshold: float, block: int = BLOCK)
 
     `each` is (uid, e, n) with distinct vectors of d finite components, not all zero.
     """
-    eps = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-9
+    eps = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-7
     mean, axes = principal_axes(each, d)
     keyed = each.select("uid", "e", "n").mapInArrow(_ordered(d, mean, axes, eps), "uid long, e array<double>, n long, cells binary")
     ordered = keyed.repartitionByRange("cells", "uid").sortWithinPartitions("cells", "uid").select("uid", "e", "n")
@@ -265,6 +287,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Null and unusable ones link with nothing."""
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
