@@ -201,7 +201,7 @@ def hamming_links(fps: DataFrame, threshold: int = THRESHOLD, heavy: int = HEAVY
     """(src, dst) links among the distinct longs `fps.fp`, which connect exactly what pairs within `threshold` <= 3 bits connect."""
     if not 0 <= threshold <= 3:
         raise ValueError("two halves with at most one differing bit in one of them cover up to 3 bits")
-    replicas = fps.mapInArrow(_replicas, "anchor long, fp long")
+    replicas = fps.mapInArrow(_replicas, "anchor long, fp long")  # made again for the count below: it is cheaper than keeping 34 rows each
     full = cut(replicas.groupBy("anchor").count().where(F.col("count") > heavy))
     if full.isEmpty():
         rows = replicas.withColumn("pair", F.lit(0).cast("long"))
@@ -242,36 +242,28 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, one of each group of near duplicates: that with the smallest id (null ids last).
+    """The rows of `docs`, one of each group of near duplicates: that with the smallest id, null ids last.
 
-    An id names a document: of rows that share one, and are not near copies of one with a smaller id, that with the smallest text
-    stays (null last). A row without an id
-    goes if a row with one is in its group; else one such row of the group stays. All columns are kept.
+    Of rows of a group that share this id, that with the least hash of its text stays (null last), and of rows that share that, too, the first by all columns as strings.
+    Rows with one id and unlike texts are in different groups, each of which keeps one. All columns are kept, whatever their names; an empty table gives an empty result.
+    Only ids and hashes are grouped; rows with texts move once, to meet the winners.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names)
     id_, text = F.col(at[id_col]), F.col(at[text_col])
-    prints = cut(fingerprints(rows.select(id_.alias("doc_id"), text.alias("text"))))
+    hashed = F.coalesce(F.md5(text.cast("binary")), F.lit("z"))
+    rows = rows.withColumn("_key", F.concat(hashed, F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit("n"))))
+    prints = cut(fingerprints(rows.select(id_.alias("doc_id"), "_key", text.alias("text")), keep=("doc_id", "_key")))
     groups = near_groups(prints, threshold=threshold)
-    order = [text.asc_nulls_last(), *(F.col(n).cast("string") for n in names)]
-    won = F.col("doc_id") == F.col("component_id")
-    state = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_w")).agg(F.bool_or(won).alias("_any"), F.bool_and(won).alias("_all")).where("_any"))
-    first = Window.partitionBy(at[id_col]).orderBy(*order)
-    kept = rows.join(state.where("_all").select("_w"), id_ == F.col("_w"), "left_semi")
-    mixed = state.where("not _all").select("_w")
-    if not mixed.isEmpty():  # ids of which some rows are near copies of a smaller id's: their other rows
-        some = fingerprints(rows.join(mixed, id_ == F.col("_w"), "left_semi"), at[text_col], tuple(names))
-        own = groups.where(won).select(F.col("doc_id").alias("_d"), F.col("_fp").alias("_f")).distinct()
-        kept = kept.unionAll(some.join(own, (id_ == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left_semi").select(*names))
-    kept = kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    nameless = groups.where("component_id is null").select(F.col("_fp").alias("_f"), "label").distinct()
-    unnamed = fingerprints(rows.where(id_.isNull()), at[text_col], tuple(names)).join(nameless, F.col("_fp") == F.col("_f"))
-    unnamed = unnamed.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where("_r = 1")
-    return kept.unionAll(unnamed.select(*names)).toDF(*docs.columns)
+    won = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("w")).select("w._key")
+    kept = rows.join(won, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(*(F.col(n).cast("string") for n in names))
+    return kept.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*names).toDF(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents. A null text has fingerprint zero."""
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 

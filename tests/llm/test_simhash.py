@@ -1,3 +1,4 @@
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -73,7 +74,8 @@ def test_edges_and_extra_columns(spark):
     assert sorted(got, key=key) == sorted(plain_groups(CASES), key=key)
     kept = S.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted([(r.doc_id, r.text and r.text[:12]) for r in kept.collect()], key=key) == sorted([(1, None), (4, "Alpha Beta"), (7, "Ä ä é"), (8, "ä ä é"), (9, "w w w w w w "), (10, "a b c d"), (None, "lonely words")], key=key)
+    first = min("Alpha Beta", "alpha beta", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted([(r.doc_id, r.text and r.text[:12]) for r in kept.collect()], key=key) == sorted([(1, None), (4, first), (7, "Ä ä é"), (8, "ä ä é"), (9, "w w w w w w "), (10, "a b c d"), (10, "zz yy xx ww"), (None, "lonely words")], key=key)
 
 
 def test_repeated_id_with_a_near_copy_of_another(spark):
