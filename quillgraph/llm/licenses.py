@@ -205,6 +205,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses found in every document. Null texts have none."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 

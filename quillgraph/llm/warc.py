@@ -190,7 +190,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, index in zip(batch.column("archive").to_pylist(), batch.column("index").to_pylist(), strict=True):
             store, path = opened(uri)
-            lines = opened(index)[0].open_input_stream(opened(index)[1], compression=None).read().decode("utf-8", "surrogatepass").split("\n")[:-1]
+            of_index, at = opened(index)
+            with of_index.open_input_stream(at, compression=None) as f:
+                lines = f.read().decode("utf-8", "surrogatepass").split("\n")[:-1]
             rows: list[tuple] = []
             with store.open_input_file(path) as f:
                 for line in lines:
@@ -229,6 +231,7 @@ def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an archived record, read back. A null html is an empty payload."""
     return archive_pages(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
 
