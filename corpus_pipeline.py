@@ -45,11 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the table of documents."""
+    """The rows of the last stage over the table of documents. Of the stages' files those of the last one stay; the others go when the next stage is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    docs, old = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        new = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(new)
+        if old:
+            files.delete(path(old), True)
+        docs, old = spark.read.parquet(new), new
     return docs
