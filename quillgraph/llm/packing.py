@@ -24,6 +24,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -73,21 +74,27 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.words = words
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.words = path, words
         said = json.loads(Path(path).read_text("utf-8"))
         cut_by = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": self.SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.by_words = said["normalizer"] == self.NORMALIZER and said["pre_tokenizer"] == cut_by and said["model"].get("end_of_word_suffix") == "</w>"
+        del said
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.final = np.zeros(size, bool)
-        for token, i in self.whole.get_vocab(with_added_tokens=False).items():
+        self.specials = [t.content for t in self.bare.get_added_tokens_decoder().values()]
+        self.final = np.zeros(self.bare.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.bare.get_vocab(with_added_tokens=False).items():
             self.final[i] = token.endswith("</w>")
         self.forget()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as the file has it, loaded when a word first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.known = pa.array([""], pa.large_string())
         self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -210,6 +217,7 @@ def _pieces(path: Callable[[], str], capacity: int, end_id: int, with_ids: bool)
                     out.append(pa.array([own[x : x + k].astype(np.int32) for x, k in zip(at, length.tolist(), strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+                pa.default_memory_pool().release_unused()  # or an idle worker keeps it while others work beside it
 
     return run
 
