@@ -205,6 +205,7 @@ def _filter(forest: Forest, text: str, threshold: float):
             x = np.array([statistics(t.as_py()) for t in batch.column(text)]).reshape(batch.num_rows, len(FEATURES))
             keep = np.concatenate([forest.score(x[k : k + 2000]) for k in range(0, len(x), 2000)] or [np.zeros(0)]) >= threshold
             yield batch.filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -64,6 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         fps = np.fromiter((fingerprint(shingle_hashes(t.as_py())) for t in batch.column("_text")), np.uint64, batch.num_rows)
         rest = [c for c in batch.schema.names if c != "_text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(fps.view(np.int64))], names=[*rest, "_fp"])
+        pa.default_memory_pool().release_unused()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
