@@ -218,6 +218,7 @@ def _pieces(path: Callable[[], str], capacity: int, end_id: int, with_ids: bool)
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 pa.default_memory_pool().release_unused()  # or an idle worker keeps it while others work beside it
+        enc.forget()  # likewise
 
     return run
 

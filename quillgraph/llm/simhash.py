@@ -222,7 +222,8 @@ def near_groups(prints: DataFrame, id_col: str = "doc_id", threshold: int = THRE
     Repeated rows keep a row each. `component_id` is null only if no row of the component has an id.
     """
     each = cut(prints.groupBy("_fp").agg(F.min(id_col).alias("least")))
-    stars = star_edges(hamming_links(each.select(F.col("_fp").alias("fp")), threshold, heavy))
+    links = cut(hamming_links(each.select(F.col("_fp").alias("fp")), threshold, heavy))  # or a task of the next step would need two Python workers, which stay
+    stars = star_edges(links)
     labelled = each.join(stars, F.col("_fp") == F.col("u"), "left").select("_fp", "least", F.coalesce("v", "_fp").alias("label"))
     labelled = cut(labelled)
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
