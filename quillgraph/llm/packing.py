@@ -273,7 +273,10 @@ SWEPT = "uid long, sequence long, length int, pid int, at long"
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches have uid and sequence; a piece or slot that is left has one of them, and its number among the partition's of its kind."""
+    """Matches have uid and sequence; a piece or slot that is left has one of them, and its number among the partition's of its kind.
+
+    Three rows with neither say how many pieces (length 0) and slots (1) are left and how many match (2).
+    """
     pid, held = TaskContext.get().partitionId(), list(batches)
     size, kind, id_ = (np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy(zero_copy_only=False) for b in held)]) for c in ("size", "kind", "id"))
     pieces, slots, no_slot, no_piece = successor_sweep(kind)
@@ -286,9 +289,12 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array(np.full(n + a + b, pid, np.int32)),
         pa.array(np.concatenate([np.zeros(n, np.int64), np.arange(a), np.arange(b)])),
     ]
-    whole = pa.RecordBatch.from_arrays(columns, names=["uid", "sequence", "length", "pid", "at"])
+    names = ["uid", "sequence", "length", "pid", "at"]
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
     for k in range(0, len(whole), 50_000):
         yield whole.slice(k, 50_000)
+    if len(whole):
+        yield pa.RecordBatch.from_arrays([none(3), none(3), pa.array([0, 1, 2], pa.int32()), pa.array(np.full(3, pid, np.int32)), pa.array([a, b, n], pa.int64())], names=names)
 
 
 def sweep_on(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -344,10 +350,13 @@ def _match(pieces: DataFrame, n_pieces: int, slots: DataFrame, n_slots: int) ->
     both = pieces.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("uid").alias("id")).unionAll(slots)
     ordered = both.repartitionByRange(parts, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
     swept = cut(ordered.mapInArrow(_sweep, SWEPT))
-    found, one, other = F.col("uid").isNotNull() & F.col("sequence").isNotNull(), F.col("sequence").isNull(), F.col("uid").isNull()
-    left = swept.groupBy("pid").agg(F.count_if(one).alias("pieces"), F.count_if(other).alias("slots"), F.count_if(found).alias("found")).orderBy("pid").collect()
-    spans = sweep_on([(r.pid, r.pieces, r.slots) for r in left])
-    n = sum(r.found for r in left)
+    piece, slot = F.col("uid").isNotNull(), F.col("sequence").isNotNull()
+    found, one, other = piece & slot, piece & ~slot, ~piece & slot
+    left: dict[int, list[int]] = {}
+    for r in swept.where(~piece & ~slot).collect():  # three rows a partition
+        left.setdefault(r.pid, [0, 0, 0])[r.length] = r["at"]
+    spans = sweep_on([(pid, a, b) for pid, (a, b, _) in sorted(left.items())])
+    n = sum(x[2] for x in left.values())
     matched = [swept.where(found).select("uid", "sequence", "length")]
     open_ = swept.where(one).select("uid", "length", "pid", "at")
     if not spans:
@@ -364,8 +373,12 @@ def _match(pieces: DataFrame, n_pieces: int, slots: DataFrame, n_slots: int) ->
 
 def _rank(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the partition, how many such pieces go into a sequence, and each row's rank among its rows of that number; rows come longest first."""
+        """Adds the partition, how many such pieces (q) go into a sequence, and each row's rank among its rows of that number; rows come longest first.
+
+        A row without uid for each q has their number as its rank.
+        """
         pid, last, seen = TaskContext.get().partitionId(), None, 0
+        counts: dict[int, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -374,7 +387,12 @@ def _rank(capacity: int):
             rank = np.arange(len(q)) - np.flatnonzero(new)[np.cumsum(new) - 1]
             rank[q == q[0]] += seen if q[0] == last else 0
             last, seen = q[-1], int(rank[-1]) + 1
+            for x, k in zip(*np.unique(q, return_counts=True), strict=True):
+                counts[int(x)] = counts.get(int(x), 0) + int(k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(q), pid, np.int32)), pa.array(q), pa.array(rank)], names=["uid", "length", "pid", "q", "rank"])
+        k = len(counts)
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(np.full(k, pid, np.int32)), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["uid", "length", "pid", "q", "rank"])
 
     return run
 
@@ -408,7 +426,7 @@ def _open(pieces: DataFrame, n_pieces: int, first: int, capacity: int) -> tuple[
     """Places (uid, sequence, length) of pieces in new sequences, numbered from `first`, and the next number."""
     ordered = pieces.repartitionByRange(_parts(n_pieces), F.col("length").desc(), "uid").sortWithinPartitions(F.col("length").desc(), "uid")
     ranked = cut(ordered.mapInArrow(_rank(capacity), "uid long, length int, pid int, q long, rank long"))
-    counts = ranked.groupBy("q", "pid").agg(F.count("*").alias("n")).orderBy("q", "pid").collect()  # at most partitions + the class's lengths
+    counts = sorted((r.q, r.pid, r["rank"]) for r in ranked.where("uid is null").collect())  # at most partitions + the class's lengths
     before: dict[int, int] = {}
     rows = []
     for q, pid, n in counts:
@@ -420,7 +438,7 @@ def _open(pieces: DataFrame, n_pieces: int, first: int, capacity: int) -> tuple[
         full += before[q] // q
     known = [(q, pid, b, starts[q], before[q] // q * q) for q, pid, b in rows]
     table_ = F.broadcast(ranked.sparkSession.createDataFrame(known, "q long, pid int, before long, start long, whole long"))
-    placed = ranked.join(table_, ["q", "pid"]).withColumn("rank", F.col("rank") + F.col("before"))
+    placed = ranked.where("uid is not null").join(table_, ["q", "pid"]).withColumn("rank", F.col("rank") + F.col("before"))
     out = [placed.where("rank < whole").select("uid", (F.col("start") + F.floor(F.col("rank") / F.col("q"))).alias("sequence"), "length")]
     if any(n % q for q, n in before.items()):
         rest = cut(placed.where("rank >= whole").select("uid", "length").repartition(1).mapInArrow(_pack_rest(full, capacity), "uid long, sequence long, length int"))
@@ -453,12 +471,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, least_class: int = LEAST_
         new: list[DataFrame] = []
         done = 0
 
-        def updated(gaps: DataFrame | None, new: list[DataFrame]) -> DataFrame:
-            taken = _union(new).groupBy("sequence").agg(F.sum("length").alias("taken"))
-            if gaps is None:
-                return cut(taken.select("sequence", (capacity - F.col("taken")).cast("int").alias("gap")).where(F.col("gap") >= least))
-            joined = gaps.join(taken, "sequence", "full")
-            return cut(joined.select("sequence", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("taken", F.lit(0))).cast("int").alias("gap")).where(F.col("gap") >= least))
+        def updated(gaps: DataFrame | None, new: list[DataFrame], first_new: int) -> DataFrame:
+            """One aggregate over what is there and what is taken; sequences from `first_new` on begin with `capacity`."""
+            taken = _union(new).select("sequence", (-F.col("length")).cast("long").alias("x"))
+            both = taken if gaps is None else gaps.select("sequence", F.col("gap").cast("long").alias("x")).unionAll(taken)
+            left_over = F.sum("x") + F.when(F.col("sequence") >= first_new, capacity).otherwise(0)
+            return cut(both.groupBy("sequence").agg(left_over.cast("int").alias("gap")).where(F.col("gap") >= least))
 
         while n_left and gaps is not None:
             sizes = {r.gap: r.n for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -471,16 +489,17 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, least_class: int = LEAST_
                 break
             places += new
             n_left, left = n_left - found, rest
-            gaps = updated(gaps, new)
+            gaps = updated(gaps, new, used)
         if rounds is not None:
             rounds.append(done)
         if n_left:
+            first_new = used
             new, used = _open(left, n_left, used, capacity)
             places += new
-            gaps = updated(gaps, new)
+            gaps = updated(gaps, new, first_new)
     if not places:
         return pieces.select("uid", F.lit(0).cast("long").alias("sequence"), "length").limit(0)
-    return _union(places)
+    return _union(places).coalesce(max(2 * pieces.sparkSession.sparkContext.defaultParallelism, _parts(sum(lengths.values()))))  # many parts, most of them small
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, least_class: int = LEAST_CLASS, rounds: list[int] | None = None) -> DataFrame:
