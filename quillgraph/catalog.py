@@ -255,6 +255,23 @@ def suffix_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("p_partkey", F.when(leaf, "leaf").otherwise("branch").alias("kind"), F.when(leaf, F.col("n.start")).alias("start"), text.alias("text"), F.element_at("depths", F.col("n.parent")).alias("above"))
 
 
+@query("suffix_tree_find", """
+with p as (select p_partkey, p_name, substr(p_name, cast(1 + p_partkey % greatest(length(p_name), 1) as int), cast(p_partkey % 7 as int)) as x from part),
+q as (select p_partkey, p_name, case when p_partkey % 3 = 0 then reverse(x) else x end as pattern from p),
+i as (select p_partkey, p_name, pattern, unnest(range(length(p_name))) as i from q),
+f as (select p_partkey, min(i) as start, count(*) as n from i where starts_with(substr(p_name, cast(i + 1 as int)), pattern) group by p_partkey)
+select p_partkey, pattern, start, n from q left join f using (p_partkey)""")
+def suffix_tree_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the suffix tree of each part's name: the first position and the occurrences of a piece of the name, of up to six characters, for every third part backwards."""
+    from quillgraph.operators.trees import suffix_tree
+    from quillgraph.operators.trees import suffix_tree_find as find
+
+    piece = F.substring("p_name", (1 + F.col("p_partkey") % F.greatest(F.length("p_name"), F.lit(1))).cast("int"), (F.col("p_partkey") % 7).cast("int"))
+    pattern = F.when(F.col("p_partkey") % 3 == 0, F.reverse(piece)).otherwise(piece)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", pattern.alias("pattern"), suffix_tree("p_name").alias("t"))
+    return parts.select("p_partkey", "pattern", find(F.col("p_name"), F.col("t"), F.col("pattern")).alias("f")).select("p_partkey", "pattern", "f.start", "f.n")
+
+
 @query("c45_classify")
 def c45_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a tree for the return flag predicts, in counts."""

@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -113,6 +113,50 @@ def suffix_tree(c: pd.Series) -> pd.Series:
     return c.map(one)
 
 
+def find_in_tree(text: str, node: np.ndarray, parent: np.ndarray, depth: np.ndarray, start: np.ndarray, pattern: str) -> tuple[int, int | None, int] | None:
+    """The highest node whose text begins with `pattern`, the first of the leaves below it and how many they are; None if no suffix begins so.
+
+    A leaf's start is an occurrence, overlaps included. All leaves are below the root, which the empty pattern finds; an empty text has none (start None).
+    """
+    below: dict[int, list[int]] = {}
+    root = 0
+    for k, (n, up) in enumerate(zip(node.tolist(), parent.tolist(), strict=True)):
+        if n == up:
+            root = k
+        else:
+            below.setdefault(up, []).append(k)
+    at, known = root, 0
+    while known < len(pattern):
+        # a leaf that ends where its branch does has no next character
+        at = next((k for k in below.get(int(node[at]), []) if depth[k] > known and text[start[k] + known] == pattern[known]), -1)
+        end = min(int(depth[at]), len(pattern))
+        if at < 0 or text[start[at] + known : start[at] + end] != pattern[known:end]:
+            return None
+        known = end
+    leaves, rest = [], [at]
+    while rest:
+        k = rest.pop()
+        if node[k] % 2 == 0:
+            leaves.append(int(start[k]))
+        rest.extend(below.get(int(node[k]), []))
+    return int(node[at]), min(leaves, default=None), len(leaves)
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("node", "start", "n")]))
+def _find(text: pd.Series, node: pd.Series, parent: pd.Series, depth: pd.Series, start: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    rows = zip(text, node, parent, depth, start, pattern, strict=True)
+    found = [None if any(x is None for x in r) else find_in_tree(r[0], *(np.asarray(x, np.int64) for x in r[1:5]), r[5]) for r in rows]
+    return pd.DataFrame([x or (None, None, None) for x in found], columns=["node", "start", "n"]).astype("Int64")
+
+
+def suffix_tree_find(text: Column, nodes: Column, pattern: Column) -> Column:
+    """(node, start, n) of `pattern` in a text whose `nodes` come from `suffix_tree`: its node, first position, and how often it occurs.
+
+    The fields are null where it doesn't occur or an argument is null. The empty pattern is at the root, and at every position.
+    """
+    return _find(text, *(nodes.getField(c) for c in ("node", "parent", "depth", "start")), pattern)
+
+
 def huffman_tree(weights: DataFrame, max_symbols: int = 1 << 20) -> DataFrame:
     """(node, parent, weight, symbol, depth) for (symbol, weight): leaves first, in order of weight, then symbol; the root's parent is itself.
 

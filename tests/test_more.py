@@ -44,6 +44,25 @@ def test_trees(spark):
     assert list(suffix_array_of("ba")) == [1, 0]
 
 
+def test_find_in_suffix_tree(spark):
+    rng = random.Random(4)
+    texts = ["banana", "", "aaaa", "a", "é𝄞é𝄞e", *("".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(12))]
+    pairs = {(t, t[i : i + k] + end) for t in texts for i in range(0, len(t) + 1, 3) for k in (0, 1, 2, 5, 40) for end in ("", "b", "\0")} | {("banana", "nab"), (None, "a"), ("a", None)}
+    df = spark.createDataFrame(sorted(pairs, key=repr), "t string, p string").withColumn("nodes", trees.suffix_tree("t"))
+    rows = df.select("t", "p", "nodes", trees.suffix_tree_find(F.col("t"), F.col("nodes"), F.col("p")).alias("f")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        at = [i for i in range(len(r.t)) if r.t.startswith(r.p, i)] if r.t is not None and r.p is not None else []
+        if r.t is None or r.p is None or not at and r.p:
+            assert (r.f.node, r.f.start, r.f.n) == (None, None, None)
+            continue
+        assert (r.f.start, r.f.n) == (min(at, default=None), len(at))
+        node = {x.node: x for x in r.nodes}
+        up = node[node[r.f.node].parent]
+        assert node[r.f.node].depth >= len(r.p) and (up.node == r.f.node or up.depth < len(r.p))
+    assert df.limit(0).select(trees.suffix_tree_find(F.col("t"), F.col("nodes"), F.col("p")).alias("f")).isEmpty()
+
+
 def grow(rows, names, discrete, threshold):
     """The rules of the tree, read off one node at a time: a function from a row to a label."""
     def bits(ys):

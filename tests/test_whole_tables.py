@@ -125,7 +125,7 @@ def test_whole_fourier(spark, tmp_path):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-3) for k in want)
 
 
-@pytest.mark.parametrize("name", ["cc_supplier_orders", "msf_supplier_parts", "msf_filtered", "msf_hybrid", "bucketed_dijkstra", "bfs_directed", "betweenness", "low_diameter_clusters", "adjacency_file", "matrix_market_file", "triangles_file", "map_insert", "range_min", "suffix_tree_nodes", "kmeans", "knn", "ray_cast", "seq_scan_custom"])
+@pytest.mark.parametrize("name", ["cc_supplier_orders", "msf_supplier_parts", "msf_filtered", "msf_hybrid", "bucketed_dijkstra", "bfs_directed", "betweenness", "low_diameter_clusters", "adjacency_file", "matrix_market_file", "triangles_file", "map_insert", "range_min", "suffix_tree_nodes", "suffix_tree_find", "kmeans", "knn", "ray_cast", "seq_scan_custom"])
 def test_sql_of_the_smallest_tables(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
