@@ -16,6 +16,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _at): the lines of the files at `path`, `_at` rising with the files' paths, then with the lines of each. Spark itself reads larger files first."""
+    from pyspark.sql import Window
+
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = raw.select("_file", "_start").distinct().withColumn("_block", F.row_number().over(Window.orderBy("_file", "_start")).cast("long"))
+    # a block is in one partition, whose rows are numbered in the lower 33 bits
+    at = F.shiftleft("_block", 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.join(F.broadcast(blocks), ["_file", "_start"]).select("value", at.alias("_at"))
+
+
 def _fields(lines: DataFrame) -> DataFrame:
     return lines.select(F.split("line", SPACES).alias("f"))
 
@@ -289,7 +300,7 @@ def read_decision_table(spark: SparkSession, path: str) -> tuple[DataFrame, list
     """(idx, c0, ..., label) of a comma-separated table, and the kinds of the columns: its first line has `d` (discrete) or `i` (integer) for each, the label's last."""
     from quillgraph.operators.seq import with_index
 
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at")).where("trim(value) <> ''")
+    raw = _placed(spark, path).where("trim(value) <> ''")
     head = raw.orderBy("_at").first()
     kinds = [x.strip() for x in head.value.split(",")]
     if any(k not in ("d", "i") for k in kinds):

@@ -157,3 +157,20 @@ def test_rays_and_hulls(spark):
     hull = geometry.upper_hull(p)
     xs = [r.x for r in hull.orderBy("x").collect()]
     assert xs == sorted(xs) and len(xs) > 500
+
+
+def in_files(path, *texts):
+    """A folder of files in the order of their names, as a written table has."""
+    path.mkdir()
+    for i, text in enumerate(texts):
+        (path / f"part-{i:05d}.txt").write_text(text)
+    return str(path)
+
+
+def test_decision_table_of_files_of_rising_size(spark, tmp_path):
+    from quillgraph.sources.graphs import read_decision_table
+
+    path = in_files(tmp_path / "t", "d,i,d\n0,0,0\n", "".join(f"{i},{i},1\n" for i in range(1, 50)), "".join(f"{i},{i},2\n" for i in range(50, 200)))
+    rows, kinds = read_decision_table(spark, path)
+    assert kinds == ["d", "i", "d"]
+    assert sorted((r.idx, r.c0) for r in rows.collect()) == [(i, i) for i in range(200)]
