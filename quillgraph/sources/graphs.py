@@ -97,8 +97,8 @@ def csr_bytes(edges: list[tuple[int, int]], n: int) -> bytes:
 
 def read_edge_array(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst[, w]) of a file with a header word and lines `u v [w]`."""
-    word = spark.read.text(path).first()
-    kind = word[0].strip() if word else ""
+    word = _placed(spark, path).orderBy("_at").first()
+    kind = word.value.strip() if word else ""
     if kind not in ("EdgeArray", "WeightedEdgeArray"):
         raise ValueError(f"no edge array: {kind!r}")
     rows = _fields(_lines(spark, path).where(f"line <> '{kind}'"))
@@ -110,7 +110,7 @@ def _numbers(spark: SparkSession, path: str, headers: tuple[str, ...]) -> tuple[
     """The header word, and (idx, value) of the tokens after it, in file order."""
     from quillgraph.operators.seq import with_index
 
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("_k", "value"))
+    raw = _placed(spark, path).select("_at", F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("_k", "value"))
     first = raw.orderBy("_at", "_k").first()
     kind = first.value if first else ""
     if kind not in headers:
@@ -142,7 +142,7 @@ def read_gap_adjacency(spark: SparkSession, path: str, symmetric: bool = False)
     from quillgraph.operators.scan import scan
     from quillgraph.operators.seq import with_index
 
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("_k", "value"))
+    raw = _placed(spark, path).select("_at", F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("_k", "value"))
     t = with_index(raw, ["_at", "_k"]).select("idx", F.col("value").cast("long").alias("value"))
     head = {r.idx: r.value for r in t.where("idx < 2").collect()}
     n, m = head.get(0, 0), head.get(1, 0)

@@ -174,3 +174,8 @@ def test_decision_table_of_files_of_rising_size(spark, tmp_path):
     rows, kinds = read_decision_table(spark, path)
     assert kinds == ["d", "i", "d"]
     assert sorted((r.idx, r.c0) for r in rows.collect()) == [(i, i) for i in range(200)]
+
+
+def test_sequence_of_files_of_rising_size(spark, tmp_path):
+    path = in_files(tmp_path / "s", "sequenceInt\n0\n", "".join(f"{i}\n" for i in range(1, 50)), "".join(f"{i}\n" for i in range(50, 200)))
+    assert rows(graphs.read_sequence(spark, path)) == [(i, i) for i in range(200)]
