@@ -179,3 +179,10 @@ def test_decision_table_of_files_of_rising_size(spark, tmp_path):
 def test_sequence_of_files_of_rising_size(spark, tmp_path):
     path = in_files(tmp_path / "s", "sequenceInt\n0\n", "".join(f"{i}\n" for i in range(1, 50)), "".join(f"{i}\n" for i in range(50, 200)))
     assert rows(graphs.read_sequence(spark, path)) == [(i, i) for i in range(200)]
+
+
+def test_triangles_of_files_of_rising_size(spark, tmp_path):
+    path = in_files(tmp_path / "t", "pbbs_triangles\n4\n40\n", "".join(f"{i}.5 0.0\n" for i in range(4)), "".join(f"{1 + i % 4} {1 + (i + 1) % 4} {1 + (i + 2) % 4}\n" for i in range(40)))
+    points, found = graphs.read_triangles(spark, path)
+    assert rows(points) == [(i, i + 0.5, 0.0) for i in range(4)]
+    assert rows(found) == [(i, i % 4, (i + 1) % 4, (i + 2) % 4) for i in range(40)]
