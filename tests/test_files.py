@@ -186,3 +186,9 @@ def test_triangles_of_files_of_rising_size(spark, tmp_path):
     points, found = graphs.read_triangles(spark, path)
     assert rows(points) == [(i, i + 0.5, 0.0) for i in range(4)]
     assert rows(found) == [(i, i % 4, (i + 1) % 4, (i + 2) % 4) for i in range(40)]
+
+
+def test_adjacency_of_files_of_rising_size(spark, tmp_path):
+    ends = [(u, v) for u in range(10) for v in range(10) if u != v]
+    path = in_files(tmp_path / "a", "AdjacencyGraph\n10\n90\n", "".join(f"{9 * u}\n" for u in range(10)), "".join(f"{v}\n" for _, v in ends))
+    assert rows(graphs.read_adjacency(spark, path)) == ends
