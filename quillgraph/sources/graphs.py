@@ -41,7 +41,7 @@ def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
 
     The header is the line of the first two numbers in the file.
     """
-    raw = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("_at"))
+    raw = _placed(spark, path)
     head = raw.agg(F.min("_at").alias("_h"))
     rows = raw.join(F.broadcast(head)).where("_at > _h").select(F.trim("value").alias("line")).where("line <> ''")
     return _fields(rows).select(_int(0).alias("src"), _int(1).alias("dst")).where("src < dst")

@@ -192,3 +192,8 @@ def test_adjacency_of_files_of_rising_size(spark, tmp_path):
     ends = [(u, v) for u in range(10) for v in range(10) if u != v]
     path = in_files(tmp_path / "a", "AdjacencyGraph\n10\n90\n", "".join(f"{9 * u}\n" for u in range(10)), "".join(f"{v}\n" for _, v in ends))
     assert rows(graphs.read_adjacency(spark, path)) == ends
+
+
+def test_edge_text_of_files_of_rising_size(spark, tmp_path):
+    path = in_files(tmp_path / "e", "50 98\n", "".join(f"{i} {i + 1}\n{i + 1} {i}\n" for i in range(9)), "".join(f"{i} {i + 1}\n{i + 1} {i}\n" for i in range(9, 49)))
+    assert rows(graphs.read_edge_text(spark, path)) == [(i, i + 1) for i in range(49)]
