@@ -54,7 +54,7 @@ def read_matrix_market(spark: SparkSession, path: str, normalise: bool = True, w
     """
     from quillgraph.operators.seq import with_index
 
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at")).where("not startswith(value, '%') and trim(value) <> ''")
+    raw = _placed(spark, path).where("not startswith(value, '%') and trim(value) <> ''")
     head = raw.orderBy("_at").limit(1).select(F.col("_at").alias("_h"), F.split(F.trim("value"), SPACES)[0].cast("long").alias("n"))
     rows = raw.join(F.broadcast(head)).where("_at > _h").select("_at", "n", F.split(F.trim("value"), SPACES).alias("f"))
     rows = rows.select("_at", "n", _int(0).alias("a"), _int(1).alias("b"), F.when(F.size("f") > 2, _int(2)).alias("w"))
