@@ -202,3 +202,8 @@ def test_edge_text_of_files_of_rising_size(spark, tmp_path):
 def test_generated_weights_of_files_of_rising_size(spark, tmp_path):
     path = in_files(tmp_path / "g", "%%MatrixMarket\n90 90 80\n", "".join(f"{i} {i + 1} 7\n" for i in range(1, 10)), "".join(f"{i} {i + 1} 7\n" for i in range(10, 81)))
     assert rows(graphs.read_matrix_market(spark, path, weight="generated")) == [(i, i, i + 1, i * (i + 1) % 90 + 1) for i in range(80)]
+
+
+def test_matrix_market_of_files_of_rising_size(spark, tmp_path):
+    path = in_files(tmp_path / "m", "%%MatrixMarket\n90 90 80\n", "".join(f"{i} {i + 1} {i}\n" for i in range(1, 10)), "".join(f"{i} {i + 1} {i}\n" for i in range(10, 81)))
+    assert rows(graphs.read_matrix_market(spark, path)) == [(i, i, i + 1, i + 1) for i in range(80)]
