@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -63,6 +63,16 @@ big_subtract = _big(lambda x, y: _wide(_number(x) - _number(y), max(len(x), len(
 big_multiply = _big(lambda x, y: _wide(_number(x) * _number(y), len(x) + len(y) + 1))
 
 
+def big_digits(x: Column, n: int = 4) -> Column:
+    """The digits of a whole number, by default as many as any decimal(38, 0) takes."""
+    x, base, out = x.cast("decimal(38,0)"), F.lit(1 << 32).cast("decimal(10,0)"), []
+    for _ in range(n):
+        low = F.pmod(x, base)
+        out.append(low.cast("long"))
+        x = ((x - low) / base).cast("decimal(38,0)")
+    return F.array(*out)
+
+
 def fft(s: DataFrame, key: str = "key") -> DataFrame:
     """(key, idx, re, im): for each key's (idx, re, im) the discrete transform with root exp(-2 pi i / n), not normalised.
 

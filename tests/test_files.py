@@ -207,3 +207,13 @@ def test_generated_weights_of_files_of_rising_size(spark, tmp_path):
 def test_matrix_market_of_files_of_rising_size(spark, tmp_path):
     path = in_files(tmp_path / "m", "%%MatrixMarket\n90 90 80\n", "".join(f"{i} {i + 1} {i}\n" for i in range(1, 10)), "".join(f"{i} {i + 1} {i}\n" for i in range(10, 81)))
     assert rows(graphs.read_matrix_market(spark, path)) == [(i, i, i + 1, i + 1) for i in range(80)]
+
+
+def test_digits_of_numbers_beyond_two_digits(spark):
+    numbers = [0, 5, 2**31, 2**32 - 1, 2**32, 2**63 - 1, 2**63, 2**64 - 1, 2**64, 9 * 10**20, 10**37, -1, -(2**63) - 1]
+    d = spark.createDataFrame([(str(x),) for x in numbers], "x string").select("x", numeric.big_digits(F.col("x").cast("decimal(38,0)")).alias("d"))
+    one = F.array(F.lit(1).cast("long"))
+    for r in d.select("x", "d", numeric.big_multiply("d", one).alias("least")).collect():
+        assert list(r.d) == [(int(r.x) >> 32 * i) % 2**32 for i in range(4)], r.x
+        x, n = int(r.x), len(r.least)
+        assert list(r.least) == [(x >> 32 * i) % 2**32 for i in range(n)] and -(2 ** (32 * n - 1)) <= x < 2 ** (32 * n - 1), r.x
