@@ -183,11 +183,19 @@ def map_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.delete(first_orders(spark, sf_dir)[0], spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select(F.col("c_custkey").alias("key")))
 
 
+def custom_maximum(s: DataFrame) -> DataFrame:
+    """(idx, value, scan): the greatest value * 1000000 + idx so far; the value is what is left without the position, which may have more than six digits."""
+    from quillgraph.operators import scan
+
+    both = s.select("idx", (F.col("value") * 1_000_000 + F.col("idx")).alias("value"))
+    return scan.custom_scan(both, max, -1, "long", inclusive=True).select("idx", F.expr("(value - idx) div 1000000").alias("value"), "scan")
+
+
 def _register() -> None:
     from quillgraph.operators import agg, scan, seq, sort
 
     on_items("seq_scan_product", "select idx, value, case when sum(case when value % 7 = 0 then 1 else 0 end) over w > 0 then 0 else 1 end::double as scan from s window w as (order by idx rows between unbounded preceding and 1 preceding)".replace("sum(case when value % 7 = 0 then 1 else 0 end) over w", "coalesce(sum(case when value % 7 = 0 then 1 else 0 end) over w, 0)"))(lambda s: scan.scan(s.select("idx", F.when(F.col("value") % 7 == 0, 0.0).otherwise(1.0).alias("value")), "product").join(s.select("idx", F.col("value").alias("v")), "idx").select("idx", F.col("v").alias("value"), "scan"))
-    on_items("seq_scan_custom", "select idx, value, cast(max(value * 1000000 + idx) over (order by idx) as bigint) as scan from s")(lambda s: scan.custom_scan(s.select("idx", (F.col("value") * 1_000_000 + F.col("idx")).alias("value")), max, -1, "long", inclusive=True).select("idx", F.floor(F.col("value") / 1_000_000).alias("value"), "scan"))
+    on_items("seq_scan_custom", "select idx, value, cast(max(value * 1000000 + idx) over (order by idx) as bigint) as scan from s")(custom_maximum)
     on_items("seq_scan_and", "select idx, value, coalesce(bool_and(value < 50) over (order by idx rows between unbounded preceding and 1 preceding), true) as scan from s")(lambda s: scan.scan(s.select("idx", (F.col("value") < 50).alias("value")), "and").join(s.select("idx", F.col("value").alias("v")), "idx").select("idx", F.col("v").alias("value"), "scan"))
     on_items("seq_scan_bit_or", "select idx, value, coalesce(bit_or(value) over (order by idx rows between unbounded preceding and 1 preceding), 0) as scan from s")(lambda s: scan.scan(s.select("idx", "value"), "bit_or"))
     on_items("seq_scan_bit_and", "select idx, value, coalesce(bit_and(value + 64) over (order by idx rows between unbounded preceding and 1 preceding), -1) as scan from s")(lambda s: scan.scan(s.select("idx", (F.col("value") + 64).alias("value")), "bit_and").select("idx", (F.col("value") - 64).alias("value"), "scan"))

@@ -217,3 +217,10 @@ def test_digits_of_numbers_beyond_two_digits(spark):
         assert list(r.d) == [(int(r.x) >> 32 * i) % 2**32 for i in range(4)], r.x
         x, n = int(r.x), len(r.least)
         assert list(r.least) == [(x >> 32 * i) % 2**32 for i in range(n)] and -(2 ** (32 * n - 1)) <= x < 2 ** (32 * n - 1), r.x
+
+
+def test_custom_scan_beyond_a_million_positions(spark):
+    from quillgraph.catalog_files import custom_maximum
+
+    s = spark.createDataFrame([(2_000_000, 3), (2_000_001, 1), (2_000_002, 7)], "idx long, value long")
+    assert rows(custom_maximum(s)) == [(2_000_000, 3, 5_000_000), (2_000_001, 1, 5_000_000), (2_000_002, 7, 9_000_002)]
