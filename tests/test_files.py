@@ -224,3 +224,8 @@ def test_custom_scan_beyond_a_million_positions(spark):
 
     s = spark.createDataFrame([(2_000_000, 3), (2_000_001, 1), (2_000_002, 7)], "idx long, value long")
     assert rows(custom_maximum(s)) == [(2_000_000, 3, 5_000_000), (2_000_001, 1, 5_000_000), (2_000_002, 7, 9_000_002)]
+
+
+def test_points_of_files_of_rising_size(spark, tmp_path):
+    path = in_files(tmp_path / "p", "pbbs_sequencePoint2d\n", "".join(f"{i}.5 1.0\n" for i in range(9)), "".join(f"{i}.5 1.0\n" for i in range(9, 40)))
+    assert rows(graphs.read_points(spark, path)) == [(i, i + 0.5, 1.0) for i in range(40)]
