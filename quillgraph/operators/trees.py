@@ -27,25 +27,104 @@ def range_min_index(s: DataFrame, fan: int = FAN) -> tuple[DataFrame, int]:
     return tree, k
 
 
+def _least_table(rank: np.ndarray) -> list[np.ndarray]:
+    """Row k has the least of the 2 ** k ranks from each position on."""
+    rows = [rank]
+    while 2 << len(rows) - 1 <= len(rank):
+        half = 1 << len(rows) - 1
+        rows.append(np.minimum(rows[-1][:-half], rows[-1][half:]))
+    return rows
+
+
+def _least_of(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least rank in each range of positions lo, ..., hi; where there is none, as many as there are positions."""
+    out = np.full(len(lo), len(table[0]), dtype=table[0].dtype)
+    span = hi - lo + 1
+    k = np.frexp(np.maximum(span, 1))[1] - 1
+    for level in np.unique(k):
+        at = np.flatnonzero((k == level) & (span > 0))
+        row = table[level]
+        out[at] = np.minimum(row[lo[at]], row[hi[at] + 1 - (1 << level)])
+    return out
+
+
+def _ranked(at: np.ndarray, value: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The table of ranks at n positions, of which `at` have values, and the order of the values; of equal ones the first is less."""
+    order = np.lexsort((at,)) if not len(at) else np.lexsort((at, pd.factorize(value, sort=True, use_na_sentinel=False)[0]))
+    rank = np.full(n, n, dtype=np.int64)
+    rank[at[order]] = np.arange(len(order))
+    return _least_table(rank), order
+
+
 def range_min(s: DataFrame, queries: DataFrame, fan: int = FAN) -> DataFrame:
     """(qid, pos, value): for each query (qid, i, j) the first position of the least value among i, ..., j; null where there is none.
 
-    A range is a few nodes of each level of the index: at most 2 (fan - 1), whatever its length.
+    Positions are cut into blocks of fan ** 4, or of the root of the length if that is more. A query goes to the block of i, where the rest of this block and, from the blocks' least
+    values (one row a block, which every task has), the blocks between are searched, then to the block of j: two rows a query are shuffled, whatever its length.
     """
-    tree, levels = range_min_index(s, fan)
-    q = queries.select("qid", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    parts = []
-    for k in range(levels):
-        a, b = f"((i + {fan**k - 1}) div {fan**k})", f"((j + 1) div {fan**k})"
-        up_a, up_b = f"((i + {fan ** (k + 1) - 1}) div {fan ** (k + 1)})", f"((j + 1) div {fan ** (k + 1)})"
-        span = "if({0} < {1}, sequence({0}, {1} - 1), cast(array() as array<bigint>))"
-        whole = span.format(a, b)
-        if k < levels - 1:
-            whole = f"if({up_a} < {up_b}, concat({span.format(a, f'{up_a} * {fan}')}, {span.format(f'{up_b} * {fan}', b)}), {whole})"
-        parts.append(f"transform({whole}, x -> struct({k} as level, x as node))")
-    nodes = q.where("i <= j").select("qid", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("at")).select("qid", "at.*")
-    found = nodes.join(tree, ["level", "node"]).groupBy("qid").agg(F.min("m").alias("m"))
-    return q.select("qid").distinct().join(found, "qid", "left").select("qid", F.col("m.idx").alias("pos"), F.col("m.value").alias("value"))
+    kind, key = s.schema["value"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    n = (s.agg(F.max("idx")).first()[0] or 0) + 1
+    block = max(fan**4, 1 << ((n - 1).bit_length() + 1) // 2)
+    q = queries.select("qid", F.greatest(F.col("i").cast("long"), F.lit(0)).alias("i"), F.least(F.col("j").cast("long"), F.lit(n - 1)).alias("j"), F.coalesce(F.expr("i <= j"), F.lit(False)).alias("_ok"))
+    q = q.withColumn("_ok", F.col("_ok") & (F.col("i") <= F.col("j")))
+    values = s.where("value is not null").select(F.col("idx").cast("long").alias("idx"), "value", F.expr(f"idx div {block}").alias("_b"))
+    least = values.groupBy("_b").agg(F.min(F.struct("value", "idx")).alias("m")).select("_b", "m.value", "m.idx").toPandas()
+    none = q.where("not _ok").select("qid", F.lit(None).cast(f"struct<value:{kind},idx:bigint>").alias("m"))
+    if not len(least):
+        return queries.select("qid").distinct().select("qid", F.lit(None).cast("long").alias("pos"), F.lit(None).cast(kind).alias("value"))
+    tops, tops_at = least["value"].to_numpy(), least["idx"].to_numpy(np.int64)
+    above, order = _ranked(least["_b"].to_numpy(np.int64), tops, -(-n // block))
+    tops, tops_at = tops[order], tops_at[order]
+
+    def better(value, pos, new, new_pos):
+        """The new values, of later positions, where there are any and they are less."""
+        less = new < value
+        if value.dtype.kind == "f":
+            less |= np.isnan(value) & ~np.isnan(new)
+        take = (new_pos >= 0) & ((pos < 0) | less)
+        return np.where(take, new, value), np.where(take, new_pos, pos)
+
+    def within(y: pd.DataFrame, b: int, lo: np.ndarray, hi: np.ndarray):
+        at, value = y["idx"].to_numpy(np.int64), y["value"].to_numpy()
+        if not len(at):
+            return np.repeat(tops[:1], len(lo)), np.full(len(lo), -1)
+        table, order = _ranked(at - b * block, value, block)
+        r = _least_of(table, lo, hi)
+        found = r < len(order)
+        which = order[np.where(found, r, 0)]
+        return value[which], np.where(found, at[which], -1)
+
+    def begin(k, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        i, j, b = x["i"].to_numpy(np.int64), x["j"].to_numpy(np.int64), int(k[0])
+        ends = j // block
+        value, pos = within(y, b, i - b * block, np.where(ends > b, block - 1, -1))
+        r = _least_of(above, np.full(len(j), b + 1).clip(max=len(above[0]) - 1), np.where(ends > b + 1, ends - 1, -1))
+        found = r < len(tops)
+        which = np.where(found, r, 0)
+        value, pos = better(value, pos, tops[which], np.where(found, tops_at[which], -1))
+        return pd.DataFrame({"qid": x["qid"].to_numpy(), "i": i, "j": j, "value": value, "pos": pos})
+
+    def end(k, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        b = int(k[0])
+        value, pos = within(y, b, np.maximum(x["i"].to_numpy(np.int64) - b * block, 0), x["j"].to_numpy(np.int64) - b * block)
+        value, pos = better(x["value"].to_numpy(), x["pos"].to_numpy(np.int64), value, pos)
+        return pd.DataFrame({"qid": x["qid"].to_numpy(), "value": value, "pos": pos})
+
+    # a block that many queries begin or end in is searched in several groups
+    ok = q.where("_ok").drop("_ok")
+    ends = ok.select(F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.expr(f"{e} div {block}").alias("_b")) for e in "ij"))).alias("x")).groupBy("x.e", "x._b").agg(F.ceil(F.count("*") / (4 * block)).alias("_n"))
+    ends = cut(ends)
+
+    def pass_(x: DataFrame, e: str, f, schema: str) -> DataFrame:
+        many = F.broadcast(ends.where(F.col("e") == e).select("_b", "_n"))
+        x = x.withColumn("_b", F.expr(f"{e} div {block}")).join(many, "_b").withColumn("_s", F.pmod(F.xxhash64("qid", "i", "j"), F.col("_n"))).drop("_n")
+        y = values.join(many, "_b").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+        meet = lambda k, x, y: f(k, x, y) if len(x) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return x.groupBy("_b", "_s").cogroup(y.groupBy("_b", "_s")).applyInPandas(meet, schema)
+
+    half = pass_(ok, "i", begin, f"qid {key}, i long, j long, value {kind}, pos long")
+    found = pass_(half, "j", end, f"qid {key}, value {kind}, pos long").select("qid", F.when(F.col("pos") >= 0, F.struct("value", F.col("pos").alias("idx"))).alias("m"))
+    return found.unionAll(none).groupBy("qid").agg(F.min("m").alias("m")).select("qid", F.col("m.idx").alias("pos"), F.col("m.value").alias("value"))
 
 
 def cartesian_parents(v: np.ndarray) -> np.ndarray:

@@ -266,3 +266,19 @@ def test_rays_through_many_triangles(spark):
     assert rows(geometry.ray_cast(rays, tri)) == want
     whole = tri.select("tid", "a", *(F.zip_with("a", k, lambda x, y: x + y).alias(k[1]) for k in ("ab", "ac")))
     assert rows(geometry.ray_cast(rays, whole)) == want
+
+
+def test_range_min_shuffles_few_rows_a_query(spark):
+    from quillgraph.operators import trees
+
+    n, sc = 4000, spark.sparkContext
+    s = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") * 7919 % 3001).alias("value"))
+    q = spark.range(n).selectExpr("id as qid", "id div 3 as i", f"id div 3 + id * 31 % ({n} - id div 3) as j")
+    sc.setJobGroup("range_min", "range_min")
+    got = rows(trees.range_min(s, q))
+    sc.setJobGroup("other", "other")
+    value = [i * 7919 % 3001 for i in range(n)]
+    assert got == [(k, m[1], m[0]) for k in range(n) for i in [k // 3] for m in [min((value[p], p) for p in range(i, i + k * 31 % (n - i) + 1))]]
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {x for j in tracker.getJobIdsForGroup("range_min") for x in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(x) is not None}
+    assert 0 < sum(store.lastStageAttempt(x).shuffleWriteRecords() for x in stages) <= 10 * n
