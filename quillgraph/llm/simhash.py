@@ -203,7 +203,7 @@ def hamming_links(fps: DataFrame, threshold: int = THRESHOLD, heavy: int = HEAVY
     if not 0 <= threshold <= 3:
         raise ValueError("two halves with at most one differing bit in one of them cover up to 3 bits")
     replicas = fps.mapInArrow(_replicas, "anchor long, fp long")  # made again for the count below: it is cheaper than keeping 34 rows each
-    full = cut(replicas.groupBy("anchor").count().where(F.col("count") > heavy))
+    full = cut(replicas.groupBy("anchor").count().where(F.col("count") > heavy).repartition(1))  # few rows, mostly none: one file, not one a partition
     if full.isEmpty():
         rows = replicas.withColumn("pair", F.lit(0).cast("long"))
     else:
@@ -225,7 +225,6 @@ def near_groups(prints: DataFrame, id_col: str = "doc_id", threshold: int = THRE
     links = cut(hamming_links(each.select(F.col("_fp").alias("fp")), threshold, heavy))  # or a task of the next step would need two Python workers, which stay
     stars = star_edges(links)
     labelled = each.join(stars, F.col("_fp") == F.col("u"), "left").select("_fp", "least", F.coalesce("v", "_fp").alias("label"))
-    labelled = cut(labelled)
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     known = labelled.join(smallest, "label").select(F.col("_fp").alias("_f"), "label", "component_id")
     return prints.join(known, F.col("_fp") == F.col("_f"), "left").drop("_f")

@@ -116,3 +116,24 @@ def test_dense_groups_and_split_anchors(spark, heavy):
             left.difference_update(near)
             todo += near
     assert got == want
+
+
+def test_files_of_state(spark, monkeypatch):
+    """Each file that an executor writes to the shared folder starts processes: what is small or read once takes few of them, whatever the shuffle partitions."""
+    files = []
+    monkeypatch.setattr(S, "cut", lambda df, cut=S.cut: files.append((kept := cut(df)).rdd.getNumPartitions()) or kept)
+    how = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in how}
+    rows = [(1, 0b0000), (2, 0b0111), (3, 0b111111000000), (4, 2**40), (5, 2**50 - 1), (None, 2**50 - 1)]
+    try:
+        for k, v in how.items():
+            spark.conf.set(k, v)
+        prints = spark.createDataFrame(rows, "doc_id long, _fp long")
+        for heavy in (2, 65_536):
+            files.clear()
+            got = {(r.doc_id, r._fp): r.component_id for r in S.near_groups(prints, heavy=heavy).collect()}
+            assert got == {(1, 0): 1, (2, 7): 1, (3, 0b111111000000): 3, (4, 2**40): 1, (5, 2**50 - 1): 5, (None, 2**50 - 1): 5}
+            assert sorted(files) == [1, 24, 24]  # anchors with many fingerprints; distinct fingerprints; links
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
